@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioquery.llm.chat import format_chats
+from folioquery.llm.labelled import fold
 from folioquery.llm.line_dedup import drop_repeated_lines
 from folioquery.llm.mixing import plan_mix
+from folioquery.llm.quality import fit_quality, score_quality
 from folioquery.llm.sharding import pack_shards
 
 
@@ -37,11 +39,23 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_shards(_table(spark, sf_dir, "documents"), 8)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_quality(docs, _table(spark, sf_dir, "labels"), folds=3, held_out=1)
+    return score_quality(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        (fold(F.col("doc_id"), 3) == 1).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_source_mix": op3_source_mix,
     "op4_chat_format": op4_chat_format,
     "op5_shards": op5_shards,
+    "op9_quality": op9_quality,
 }
 
 
