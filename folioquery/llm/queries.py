@@ -13,6 +13,7 @@ from folioquery.llm.line_dedup import drop_repeated_lines
 from folioquery.llm.mixing import plan_mix
 from folioquery.llm.quality import fit_quality, score_quality
 from folioquery.llm.sharding import pack_shards
+from folioquery.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,17 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_shards(_table(spark, sf_dir, "documents"), 8)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels"), folds=5, held_out=0)
+    return score_toxicity(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        (fold(F.col("doc_id"), 5) == 0).alias("held_out"),
+        F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit_quality(docs, _table(spark, sf_dir, "labels"), folds=3, held_out=1)
@@ -55,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op4_chat_format": op4_chat_format,
     "op5_shards": op5_shards,
+    "op7_toxicity": op7_toxicity,
     "op9_quality": op9_quality,
 }
 
