@@ -11,6 +11,7 @@ from folioquery.llm.chat import format_chats
 from folioquery.llm.labelled import fold
 from folioquery.llm.line_dedup import drop_repeated_lines
 from folioquery.llm.mixing import plan_mix
+from folioquery.llm.pieces import encode_documents
 from folioquery.llm.quality import fit_quality, score_quality
 from folioquery.llm.sharding import pack_shards
 from folioquery.llm.toxicity import fit_toxicity, score_toxicity
@@ -40,6 +41,23 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_shards(_table(spark, sf_dir, "documents"), 8)
 
 
+def piece_model() -> str:
+    """The model file of the production query; the package that names it is no dependency of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_documents(docs, piece_model()).select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit_toxicity(docs, _table(spark, sf_dir, "labels"), folds=5, held_out=0)
@@ -67,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op4_chat_format": op4_chat_format,
     "op5_shards": op5_shards,
+    "op6_pieces": op6_pieces,
     "op7_toxicity": op7_toxicity,
     "op9_quality": op9_quality,
 }
