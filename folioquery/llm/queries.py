@@ -14,6 +14,7 @@ from folioquery.llm.mixing import plan_mix
 from folioquery.llm.pieces import encode_documents
 from folioquery.llm.quality import fit_quality, score_quality
 from folioquery.llm.sharding import pack_shards
+from folioquery.llm.simhash import simhash_groups
 from folioquery.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -69,6 +70,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(_table(spark, sf_dir, "documents"), width=3)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit_quality(docs, _table(spark, sf_dir, "labels"), folds=3, held_out=1)
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_shards": op5_shards,
     "op6_pieces": op6_pieces,
     "op7_toxicity": op7_toxicity,
+    "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
 }
 
