@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioquery.llm.chat import format_chats
+from folioquery.llm.hilbert import nearest
 from folioquery.llm.labelled import fold
 from folioquery.llm.line_dedup import drop_repeated_lines
+from folioquery.llm.maxscore import top_k
 from folioquery.llm.mixing import plan_mix
 from folioquery.llm.pieces import encode_documents
 from folioquery.llm.quality import fit_quality, score_quality
@@ -29,6 +31,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plan_mix(_table(spark, sf_dir, "documents"), budget_percent=60)
     return plan.select("domain", "lang", "source", "doc_id", "n_tokens", "leaf_budget", F.explode("epochs").alias("epoch"))
@@ -85,8 +91,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_top_k": op2_top_k,
     "op3_source_mix": op3_source_mix,
     "op4_chat_format": op4_chat_format,
     "op5_shards": op5_shards,
@@ -94,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
+    "op10_nearest": op10_nearest,
 }
 
 
@@ -148,6 +160,13 @@ ORACLE: dict[str, str] = {
     SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
     FROM flagged GROUP BY doc_id""",
+    "op2_top_k": """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+    SELECT query_id, rank::INT AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
     "op3_source_mix": f"""
     WITH units AS (SELECT 'domain' || (coalesce(TRY_CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS INT), 0) % 4)::VARCHAR AS domain,
                           lang, source, doc_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + 1 AS n_tokens FROM documents),
