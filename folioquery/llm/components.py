@@ -19,8 +19,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Null ends and self-loops are ignored; repeated edges count once.
     """
-    kept = edges.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = materialise(kept.union(kept.select("b", "a")).distinct(), "edges")
+    # Both directions come from one reading of the edges, whatever they are computed from.
+    kept = edges.where("a is not null and b is not null and a <> b")
+    turned = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = materialise(kept.select(F.explode(turned).alias("e")).select("e.a", "e.b").distinct(), "edges")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "component", F.lit(None).cast("long").alias("old"))

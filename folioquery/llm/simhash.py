@@ -212,7 +212,8 @@ def near_links(keyed: DataFrame, n_words: int, limit: int) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return dealt.repartition("band", "key", "u", "v").sortWithinPartitions("band", "key", "u", "v").mapInArrow(run, "a long, b long")
+    # Sorted to the last column, so that a task that runs again finds the same trees.
+    return dealt.repartition("band", "key", "u", "v").sortWithinPartitions("band", "key", "u", "v", "id").mapInArrow(run, "a long, b long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], n_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
