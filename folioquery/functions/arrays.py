@@ -122,9 +122,9 @@ def has_property(c, target, args):
 @function("plain view", "join")
 def join(c, target, args):
     v, rest = subject(target, args)
-    sep = rest[0].col if rest else F.lit("," if c.grammar.name == "plain" else "")
+    sep = str(rest[0].const) if rest else "," if c.grammar.name == "plain" else ""
     shown = F.transform(v.col, lambda x: F.coalesce(x.cast("string"), F.lit("")))
-    return Val(F.array_join(shown, sep.cast("string") if not rest else rest[0].const), STRING, v.err)
+    return Val(F.array_join(shown, sep), STRING, v.err)
 
 
 @function("plain view", "sort")

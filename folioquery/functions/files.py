@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioquery.functions.registry import function, subject
@@ -10,8 +11,8 @@ from folioquery.values import BOOL, STRING
 
 
 def _member(c, v: Val, name: str) -> Val:
-    """A member of the record's file, which is bound as a dict of values."""
-    return c.scope.bindings["file"].get(name, literal(None)) if "file" in c.scope.bindings else c.member(v, name, True)
+    """A member of a file, which may be bound as a dict of values."""
+    return v.const.get(name, literal(None)) if isinstance(v.const, dict) else c.member(v, name, True)
 
 
 @function("cel plain view", "inFolder")
@@ -22,14 +23,17 @@ def in_folder(c, target, args):
     return Val((folder == want) | ((want != "") & F.startswith(folder, F.concat(want, F.lit("/")))), BOOL, args[0].err)
 
 
+def _below(want: Column):
+    return lambda t: (t == want) | F.startswith(t, F.concat(want, F.lit("/")))
+
+
 @function("cel plain view", "hasTag")
 def has_tag(c, target, args):
     """Any of the tags, or a tag below it: a/b is an a."""
     tags = _member(c, target, "tags")
     found = None
     for a in args:
-        want = F.regexp_replace(a.col, "^#", "")
-        one = F.exists(tags.col, lambda t, w=want: (t == w) | F.startswith(t, F.concat(w, F.lit("/"))))
+        one = F.exists(tags.col, _below(F.regexp_replace(a.col, "^#", "")))
         found = one if found is None else found | one
     return Val(F.coalesce(found, F.lit(False)), BOOL, errors(*args))
 
@@ -48,5 +52,5 @@ def link(c, target, args):
         v = args[0]
         shown = F.concat(F.lit("|"), args[1].col) if len(args) > 1 else F.lit("")
         return Val(F.concat(F.lit("[["), v.col, shown, F.lit("]]")), STRING, errors(*args))
-    v, _ = subject(_member(c, target, "path") if "file" in c.scope.bindings else target, [])
+    v, _ = subject(_member(c, target, "path") if isinstance(target.const, dict) else target, [])
     return Val(F.concat(F.lit("[["), v.col, F.lit("]]")), STRING, v.err)

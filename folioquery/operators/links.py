@@ -121,15 +121,14 @@ def resolve(links: DataFrame, records: DataFrame, *, unique: bool = False) -> Da
     is relative to the source's folder, absolute with a leading slash, and gets .md where needed.
     A path is never looked up elsewhere because of its type. Adds ``target_path`` and ``reason`` (null, ``missing``, ``ambiguous``, ``external``).
 
-    Links are told apart by source and text; the popular targets of links are not
-    a problem, since only distinct links are ranked and each record's keys are unique to it.
+    Links are told apart by source and text. Without target types, names are ranked before
+    links join them; with types, each link is ranked over the records of its name.
     """
     typed = "target_types" in links.columns and "types" in records.columns
     more = ["target_types"] if typed else []
     asked = links.select("source_path", "raw_target", *more).distinct()
     parts = link_target(F.col("raw_target"))
-    folder = F.when(F.contains("source_path", F.lit("/")), F.expr("substring(source_path, 1, length(source_path) - length(substring_index(source_path, '/', -1)) - 1)")).otherwise("")
-    asked = asked.select("*", *[c.alias(k) for k, c in parts.items()], folder.alias("folder"))
+    asked = asked.select("*", *[c.alias(k) for k, c in parts.items()], _folder("source_path").alias("folder"))
     by_path = (F.col("kind") == "path") | F.contains("target", F.lit("/"))
     rooted = F.startswith("target", F.lit("/")) | ((F.col("kind") == "wiki") & ~F.startswith("target", F.lit(".")))
     whole = normal_path(F.when(rooted, F.col("target")).otherwise(F.concat_ws("/", "folder", "target")))
@@ -146,16 +145,14 @@ def resolve(links: DataFrame, records: DataFrame, *, unique: bool = False) -> Da
     )
     looked = asked.where("not external").select("source_path", "raw_target", "folder", *more, F.explode(F.when(F.col("full").isNull(), wanted).otherwise(paths)).alias("w"))
     keys = resolution_keys(records)
-    if typed:
-        keys = keys.join(records.select("path", "types"), "path")
+    if not typed:
+        return _explain(links, _pick_by_key(looked, keys, unique))
+    keys = keys.join(records.select("path", "types"), "path")
     found = looked.join(keys, (F.col("w.class") == keys["class"]) & (F.col("w.key") == keys["key"]))
     order = F.array_position(F.array(*[F.lit(c) for c in ("path", *CLASSES)]), F.col("w.class"))
-    eligible = F.lit(True)
-    if typed:
-        eligible = F.col("target_types").isNull() | (F.size("target_types") == 0) | F.arrays_overlap("types", "target_types")
-    target_folder = F.expr("case when instr(path, '/') > 0 then substring(path, 1, length(path) - length(substring_index(path, '/', -1)) - 1) else '' end")
+    eligible = F.col("target_types").isNull() | (F.size("target_types") == 0) | F.arrays_overlap("types", "target_types")
     rank = F.struct(
-        (target_folder != F.col("folder")).alias("other_folder"), F.size(F.split("path", "/")).alias("depth"), F.col("path").alias("path")
+        (_folder("path") != F.col("folder")).alias("other_folder"), F.size(F.split("path", "/")).alias("depth"), F.col("path").alias("path")
     )
     exact = (F.col("w.key") == F.col("path")) & (F.col("w.class") == "path")
     found = found.select(
@@ -173,6 +170,34 @@ def resolve(links: DataFrame, records: DataFrame, *, unique: bool = False) -> Da
         "source_path", "raw_target", F.when(alone & F.col("ok"), F.col("best.path")).alias("target_path"),
         F.when(~alone, "ambiguous").when(~F.col("ok"), "missing").alias("why"),
     )
+    return _explain(links, picked)
+
+
+def _folder(path: str) -> Column:
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+
+
+def _pick_by_key(looked: DataFrame, keys: DataFrame, unique: bool) -> DataFrame:
+    """The pick without types: each name's count and best record are found once, and links join those.
+
+    A name that many records share and many links use is one row here, and one more for each
+    folder that has it, so its links never meet its records pair by pair.
+    """
+    place = F.struct(F.size(F.split("path", "/")).alias("depth"), F.col("path").alias("path"))
+    one = keys.groupBy("class", "key").agg(F.count_distinct("path").alias("n"), F.min(place).alias("best"))
+    near = keys.where("class = 'basename'").groupBy(F.col("key").alias("near_key"), _folder("path").alias("near_folder")).agg(F.min(place).alias("near"))
+    asked = looked.select("source_path", "raw_target", "folder", "w.class", "w.key").withColumn("longer", F.length("key"))
+    found = asked.join(one, ["class", "key"])
+    by_name = F.when(F.col("class") == "basename", F.col("key"))
+    found = found.join(near, (by_name == near["near_key"]) & (found["folder"] == near["near_folder"]), "left")
+    order = F.array_position(F.array(*[F.lit(c) for c in ("path", *CLASSES)]), F.col("class"))
+    alone = (F.col("n") == 1) | (F.col("class") == "path") | ((F.col("class") == "basename") & F.lit(not unique))
+    target = F.when(alone, F.coalesce("near.path", "best.path"))
+    picked = found.groupBy("source_path", "raw_target").agg(F.min_by(F.struct(target.alias("path"), alone.alias("alone")), F.struct(order, "longer")).alias("p"))
+    return picked.select("source_path", "raw_target", F.col("p.path").alias("target_path"), F.when(~F.col("p.alone"), "ambiguous").alias("why"))
+
+
+def _explain(links: DataFrame, picked: DataFrame) -> DataFrame:
     out = links.join(picked, ["source_path", "raw_target"], "left")
     external = link_target(F.col("raw_target"))["external"]
     reason = F.when(external, "external").when(F.col("target_path").isNotNull(), F.lit(None)).otherwise(F.coalesce("why", F.lit("missing")))

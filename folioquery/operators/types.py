@@ -97,7 +97,7 @@ def match_operator(v: Val, op: str, want: object) -> Column:
     if op in ("contains", "containsAll", "containsAny"):
         wants = want if isinstance(want, list) else [want]
         if v.kind.name == "list":
-            each = [F.exists(v.col, lambda x, w=w: x.eqNullSafe(F.lit(w))) for w in wants]
+            each = [F.coalesce(F.array_contains(v.col, w), F.lit(False)) for w in wants]
         else:
             each = [F.contains(text, F.lit(str(w))) for w in wants]
         out = each[0]

@@ -250,9 +250,7 @@ class Compiler:
             if out is not None:
                 return out
         if isinstance(node.target, Name) and isinstance(self.scope.bindings.get(node.target.id), dict):
-            target = self.scope.bindings[node.target.id].get("")  # e.g. the record's file
-            if target is None:
-                raise ExpressionError(f"{node.target.id} has no methods", "unknown_function")
+            target = Val(F.lit(None), Kind("file"), const=self.scope.bindings[node.target.id])
         else:
             target = self.compile(node.target) if node.target is not None else None
         fn = self.functions.get(node.name)

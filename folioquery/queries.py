@@ -354,8 +354,9 @@ def _named_parts(spark, sf_dir):
     target = part.select(path.alias("path"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("title"))
     supplier = table(spark, sf_dir, "supplier")
     source = F.concat(F.lit("b"), (F.col("s_suppkey") % 7).cast("string"), F.lit("/supplier"), F.col("s_suppkey").cast("string"), F.lit(".md"))
-    names = part.groupBy("p_name").agg(F.min("p_partkey").alias("k"))
-    asked = supplier.crossJoin(names.where("k <= 3")).select(source.alias("source_path"), F.concat(F.lit("[["), F.col("p_name"), F.lit("]]")).alias("raw_target"))
+    names = part.groupBy("p_name").agg(F.min("p_partkey").alias("k")).where("k <= 3")
+    # every supplier names the four parts of the lowest keys
+    asked = supplier.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3)))).join(names, "k").select(source.alias("source_path"), F.concat(F.lit("[["), F.col("p_name"), F.lit("]]")).alias("raw_target"))
     return asked, target
 
 

@@ -12,10 +12,7 @@ from pyspark.sql import functions as F
 
 
 def admit(events: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The first delivery of every event, and the rest marked as duplicates, by ``outcome``.
-
-    A window keeps only its first row of a key, which combines before the shuffle.
-    """
+    """All deliveries with their ``outcome``: the first of every event is accepted, the rest are duplicates."""
     nth = F.row_number().over(W.partitionBy(*key).orderBy(*order))
     return events.withColumn("outcome", F.when(nth == 1, "accepted").otherwise("duplicate"))
 
