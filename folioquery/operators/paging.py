@@ -61,3 +61,16 @@ def read_many(df: DataFrame, key: str, wanted: list) -> DataFrame:
 def numbered(df: DataFrame, by: list[str], order: list[Column], name: str = "nth") -> DataFrame:
     """Rows numbered from 1 within groups."""
     return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+
+
+def pin(df: DataFrame, order: list[Column], path: str) -> DataFrame:
+    """A result fixed as a table with its places, for cursors that must not see later changes. Numbered in ranges."""
+    from folioquery.operators.quality import generate_sequence
+
+    generate_sequence(df.withColumn("place", F.lit(None).cast("long")), "place", order, start=0).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def pinned_page(pinned: DataFrame, start: int, size: int = 100) -> DataFrame:
+    """A page of a pinned result: a range of places, whatever the page."""
+    return pinned.where(F.col("place").between(start, start + size - 1)).orderBy("place")

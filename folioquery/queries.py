@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from folioquery.plans.plain_query import run_plain_query
 from folioquery.plans.query import run_query
 from folioquery.plans.views import run_saved, run_view
 from folioquery.streaming import events as ev
-from folioquery.values import DYNAMIC
+from folioquery.values import DYNAMIC, list_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -539,3 +540,99 @@ def tags_extract(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     body = F.concat(F.lit("see [["), "p_name", F.lit("|it]] and [b](x/"), "p_brand", F.lit(".md) #"), F.regexp_replace("p_type", " ", "/"), F.lit(" `#no` #fff"))
     return part.select("p_partkey", links.body_tags(body).alias("tags"), F.transform(links.body_links(body), lambda x: x["raw_target"]).alias("links"))
+
+
+@query(
+    "contract_projection",
+    "SELECT 'customer/' || c_custkey AS path, c_custkey AS id, c_name AS label, c_acctbal AS balance FROM customer",
+)
+def contract_projection(spark, sf_dir):
+    from folioquery.operators.types import contract
+
+    r = records(spark, sf_dir, "customer")
+    return r.df.select(r.path.alias("path"), *[v.col.alias(k) for k, v in contract(r, {"id": "c_custkey", "label": "c_name", "balance": "c_acctbal"}).items()])
+
+
+@query(
+    "candidate_dynamic_prefilter",
+    "SELECT event_id FROM events WHERE event_type = 'error' AND (props->>'k')::DOUBLE >= 40",
+)
+def candidate_dynamic_prefilter(spark, sf_dir):
+    from folioquery.plans.candidates import candidate
+
+    r = _event_records(spark, sf_dir)
+    where = "event_type == 'error' && props.k >= 40.0"
+    early = candidate(r, where)
+    return run_query(replace(r, df=r.df.where(early)), {"where": where, "select": ["event_id"]}).results.select("event_id")
+
+
+@query(
+    "file_functions",
+    "SELECT 'part/' || p_partkey AS path, p_partkey % 3 = 0 AS low, true AS inside, false AS root FROM part WHERE p_partkey % 2 = 0",
+)
+def file_functions(spark, sf_dir):
+    r = records(spark, sf_dir, "part")
+    rest = F.col("p_partkey") % 3
+    tags = Val(F.array(F.when(rest == 0, "size/low").otherwise("size"), F.lit("part")), list_of(r.fields["p_name"].kind))
+    r = replace(r, file={**r.file, "tags": tags})
+    return run_query(r, {"where": "p_partkey % 2 == 0 && file.hasTag('part')", "select": [{"name": "low", "expr": "file.hasTag('size/low')"}, {"name": "inside", "expr": "file.inFolder('part')"}, {"name": "root", "expr": "file.inFolder('')"}]}).results
+
+
+@query(
+    "follow_list_links",
+    "SELECT c_nationkey, list(o.status ORDER BY o.at) AS statuses FROM (SELECT c_nationkey, unnest([c_nationkey * 10, c_nationkey * 10 + 3, -1]) AS k, unnest([0, 1, 2]) AS at FROM (SELECT DISTINCT c_nationkey FROM customer)) l LEFT JOIN LATERAL (SELECT l.at AS at, (SELECT o_orderstatus FROM orders WHERE o_orderkey = l.k) AS status) o ON true GROUP BY 1",
+)
+def follow_list_links(spark, sf_dir):
+    owners = table(spark, sf_dir, "customer").select("c_nationkey").distinct()
+    k = F.col("c_nationkey").cast("long") * 10
+    owners = owners.withColumn("links", F.array(k, k + 3, F.lit(-1).cast("long")))
+    return links.follow_each(owners, "c_nationkey", "links", table(spark, sf_dir, "orders"), "o_orderkey", "o_orderstatus", "statuses").select("c_nationkey", "statuses")
+
+
+@query(
+    "cache_staleness",
+    "SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' ELSE 'changed' END AS state FROM (SELECT o_orderkey AS path, o_totalprice AS m FROM orders WHERE o_orderkey % 7 <> 0) a FULL JOIN (SELECT o_orderkey AS path, o_totalprice + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS m FROM orders WHERE o_orderkey % 11 <> 0) b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.m <> b.m",
+)
+def cache_staleness(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    now = o.where(key % 7 != 0).select(key.alias("path"), price.alias("mtime"))
+    then = o.where(key % 11 != 0).select(key.alias("path"), (price + F.when(key % 5 == 0, 1).otherwise(0)).alias("mtime"))
+    return diff.stale(now, then)
+
+
+@query(
+    "concurrency_replace",
+    "SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 THEN 'run' ELSE 'cancelled' END AS outcome FROM events",
+)
+def concurrency_replace(spark, sf_dir):
+    return ev.concurrency(table(spark, sf_dir, "events"), "user_id", [F.col("ts"), F.col("event_id")], "replace").select("event_id", "outcome")
+
+
+@query("ordered_feed", "SELECT event_id, 1000 + row_number() OVER (ORDER BY ts, event_id) AS watermark FROM events WHERE event_type <> 'view'")
+def ordered_feed(spark, sf_dir):
+    kept = table(spark, sf_dir, "events").where("event_type <> 'view'").select("event_id", "ts")
+    return ev.ordered_feed(kept, 1000, [F.col("ts"), F.col("event_id")]).select("event_id", "watermark")
+
+
+@query(
+    "lifecycle_actions",
+    "SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN 'supplier-' || lpad(s_suppkey::VARCHAR, 9, '0') END AS slug, CASE WHEN s_acctbal > 0 THEN s_name END AS shown FROM supplier",
+)
+def lifecycle_actions(spark, sf_dir):
+    from folioquery.operators.lifecycle import Action, run_actions
+
+    r = run_actions(records(spark, sf_dir, "supplier"), [Action({"slug": {"slugify": "s_name"}, "shown": {"copy": "s_name"}}, "s_acctbal > 0.0")], now="2024-01-01T00:00:00Z")
+    return r.df.select("s_suppkey", r.fields["slug"].col.alias("slug"), r.fields["shown"].col.alias("shown"))
+
+
+@query(
+    "rename_references",
+    "SELECT 'orders/' || o_orderkey AS source_path, '[[customer/' || o_custkey || '|buyer]]' AS raw_target, 'client/' || o_custkey || '.md' AS new_path, '[[client/' || o_custkey || '|buyer]]' AS new_target FROM orders WHERE o_custkey % 10 = 0",
+)
+def rename_references(spark, sf_dir):
+    cust = F.col("o_custkey").cast("string")
+    edges = table(spark, sf_dir, "orders").select(F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string")).alias("source_path"), F.concat(F.lit("[[customer/"), cust, F.lit("|buyer]]")).alias("raw_target"), F.concat(F.lit("customer/"), cust, F.lit(".md")).alias("target_path"))
+    c = F.col("c_custkey").cast("string")
+    renames = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.concat(F.lit("customer/"), c, F.lit(".md")).alias("old_path"), F.concat(F.lit("client/"), c, F.lit(".md")).alias("new_path"))
+    return links.rename_references(edges, renames)
