@@ -51,7 +51,7 @@ def _necessary(node, records: Records, positive: bool) -> Column | None:
         if both:  # either part alone is still necessary
             known = [p for p in parts if p is not None]
             return None if not known else known[0] if len(known) == 1 else known[0] & known[1]
-        return None if None in parts else parts[0] | parts[1]
+        return None if any(p is None for p in parts) else parts[0] | parts[1]
     leaf = _leaf(node, records)
     if leaf is None:
         return None
