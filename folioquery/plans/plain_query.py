@@ -26,7 +26,12 @@ class PlainOutcome:
 def condition(c, where) -> Column:
     """A filter text, or an object: the first of ``and``, ``or``, ``not`` that is there; anything else is false."""
     if isinstance(where, str):
-        v = c.text(where)
+        try:
+            v = c.text(where)
+        except ExpressionError as e:
+            if e.code == "unknown_function" and "::" in where:
+                return F.lit(False)  # an extension that isn't registered matches nothing
+            raise
         kept = c.truth(v)
         return kept if v.err is None else kept & v.err.isNull()
     if isinstance(where, dict):

@@ -80,6 +80,9 @@ def test_plain_queries(tasks):
     nothing = run_plain_query(tasks, {"where": {"neither": []}, "property_summaries": {"estimate": "Sum", "title": "Latest"}})
     assert tuple(nothing.summaries.first()) == (0.0, None)
     assert ids(run_plain_query(tasks, {"where": {"and": ["estimate > 1", {"not": "status == 'done'"}], "or": ["false"]}}).results) == ["a", "e"]
+    assert ids(run_plain_query(tasks, {"where": {"or": ["ext::near(id)", "id == 'a'"]}}).results) == ["a"]
+    with pytest.raises(ExpressionError):
+        run_plain_query(tasks, {"where": "nope(id)"})
     enum = run_plain_query(tasks, {"order_by": ["status"]}, enums={"status": ["done", "2"]}).results
     assert ids(enum) == ["b", "c", "e", "a", "d"]
 
@@ -289,3 +292,26 @@ def test_collections(spark, tmp_path):
     markdown.write_collection(df.where("invalid_reason is null"), str(tmp_path / "copy"))
     again = {x.path: json.loads(x.raw_json) for x in markdown.read_collection(spark, str(tmp_path / "copy")).collect()}
     assert again["tasks/a.md"]["tags"] == ["#p"] and set(again) == set(rows) - {"broken.md"}
+
+
+def test_debounce_stream_gives_closed_bursts(spark, tmp_path):
+    rows = [(i, i % 2, (i * 7 + (100 if i >= 10 else 0)) * 1_000_000) for i in range(20)]
+    spark.createDataFrame(rows, "id long, user long, at long").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id long, user long, at long").parquet(f"{tmp_path}/in")
+    q = events.debounce_stream(stream, "user", 30).writeStream.format("memory").queryName("quiet").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    # the last of each key come only if the timeout passes while the stream runs
+    assert {8, 9} <= {r.id for r in spark.table("quiet").collect()} <= {8, 9, 18, 19}
+
+
+def test_stream_admission_and_windows(spark, tmp_path):
+    rows = [(i % 6, i) for i in range(12)]
+    spark.createDataFrame(rows, "id long, t long").withColumn("ts", F.timestamp_seconds("t")).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id long, t long, ts timestamp").parquet(f"{tmp_path}/in")
+    q = events.admit_stream(stream, ["id"], "ts", "1 hour").writeStream.format("memory").queryName("admitted").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r.id for r in spark.table("admitted").collect()) == list(range(6))
+    counts = events.windowed(stream, "ts", "5 seconds", "1 second", [], [F.count(F.lit(1)).alias("n")])
+    q = counts.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r.n for r in spark.table("counts").collect()) == [2, 5, 5]
