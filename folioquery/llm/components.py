@@ -11,26 +11,39 @@ from folioquery.llm.cluster import materialise
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (the smallest node reachable) for every node of ``edges`` (``a``, ``b``).
 
-    Each round gives a node the smallest label among its own, its neighbours'
-    and its label's label. All three arrive as messages that are combined
-    before the shuffle, so a label that a third of all nodes share costs a task no
-    more than one row of each other task. The tables of a round are written to
-    the shared folder; rounds grow with the logarithm of the longest path.
+    By contraction: every node points at its smallest neighbour if that is smaller, pointers are
+    followed to their roots, and edges become edges between different
+    roots. A round at least halves the nodes that still have edges, and reads only what the last
+    one left. Minima are combined before the shuffle, and joins read
+    plain tables in the shared folder, so Spark can split a root that a third of all nodes share.
 
     Null ends and self-loops are ignored; repeated edges count once.
     """
-    # Both directions come from one reading of the edges, whatever they are computed from.
     kept = edges.where("a is not null and b is not null and a <> b")
-    turned = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialise(kept.select(F.explode(turned).alias("e")).select("e.a", "e.b").distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
+    pairs = materialise(kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    found: DataFrame | None = None
+    while found is None or not pairs.isEmpty():
+        turned = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = pairs.select(F.explode(turned).alias("e")).select(F.col("e.a").alias("node"), F.col("e.b").alias("near"))
+        roots = _compress(both.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("root")))
+        at_a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+        at_b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        moved = pairs.join(at_a, "a").join(at_b, "b").where("ra <> rb")
+        pairs = materialise(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        if found is None:
+            found = roots.select("node", F.col("root").alias("component"))
+        else:
+            up = roots.select(F.col("node").alias("component"), "root")
+            found = materialise(found.join(up, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+    return found
+
+
+def _compress(parents: DataFrame) -> DataFrame:
+    """Pointers followed to their ends by doubling."""
+    parents = materialise(parents, "roots")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "component", F.lit(None).cast("long").alias("old"))
-        up = labels.select(F.col("node").alias("parent"), F.col("component").alias("above"))
-        jump = labels.join(up, labels["component"] == up["parent"]).select("node", F.col("above").alias("component"), F.col("component").alias("old"))
-        labels = materialise(
-            near.unionByName(jump).groupBy("node").agg(F.min("component").alias("component"), F.max("old").alias("old")),
-            "labels",
-        )
-        if labels.where("component <> old").isEmpty():
-            return labels.select("node", "component")
+        up = parents.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        higher = materialise(parents.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") < F.col("root")).alias("moved")), "roots")
+        parents = higher.select("node", "root")
+        if higher.where("moved").isEmpty():
+            return parents
