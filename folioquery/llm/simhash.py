@@ -248,9 +248,7 @@ def _search(bucket: np.ndarray, ids: np.ndarray, codes: np.ndarray, limit: int)
     bucket, ids, codes = bucket[keep], ids[keep], codes[keep]
     if not len(ids):
         return ids, ids
-    # One index over the run: links across its buckets are links all the same.
-    index = GrayIndex(codes)
-    label = forest(len(ids), ((i[i < j], j[i < j]) for i, j in index.search(codes, limit)))
+    label = forest(len(ids), _pairs(bucket, codes, limit))
     return tree_edges(ids, label)
 
 
@@ -275,6 +273,22 @@ def wide_majority(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((count.astype(np.float64) @ _BITS.astype(np.float64)).ravel() * 2 > len(hashes)).astype(np.uint8)
 
 
+def _pairs(bucket: np.ndarray, codes: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links within buckets. A bucket no larger than a leaf is one leaf, compared for all such buckets at once; a larger one gets an index."""
+    start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    size = np.diff(np.r_[start, len(bucket)])
+    leaf = np.repeat(size <= LEAF, size)
+    for step in range(1, min(LEAF, int(size.max()))):
+        i = np.flatnonzero(leaf[:-step] & (bucket[step:] == bucket[:-step]))
+        near = np.bitwise_count(codes[i] ^ codes[i + step]).sum(axis=1) <= limit
+        yield i[near], i[near] + step
+    for at, n in zip(start[size > LEAF], size[size > LEAF], strict=True):
+        own = codes[at : at + n]
+        for i, j in GrayIndex(own).search(own, limit):
+            keep = i < j
+            yield i[keep] + at, j[keep] + at
+
+
 def near_codes(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id``, ``sum`` (of the text), ``keys`` (bands) and the code ``c0``... of every whole text."""
     weights = 1 << np.arange(BAND_BITS)
