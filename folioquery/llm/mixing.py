@@ -98,7 +98,7 @@ def plan_mix(
     times and, in epoch f, the longest prefix of a seeded order whose tokens fit in the rest.
 
     The order is that of md5(seed:epoch:id). Its first three hex digits cut
-    every leaf into 4096 even buckets, whose sums give each bucket its place, so a
+    every leaf into 4096 even buckets, whose sums give each bucket its place (by first digit, then within it), so a
     leaf with a third of all rows is never sorted in one task.
 
     Returns per (leaf, id): ``domain``, ``lang``, ``source``, ``doc_id``, ``n_tokens`` (words plus one for
@@ -146,12 +146,17 @@ def plan_mix(
     plan = materialise(plan, "mix-plan")
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("whole").cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     drawn = units.join(plan, LEVELS).withColumn("h", order).withColumn("bucket", F.substring("h", 1, 3))
-    start = F.sum("t").over(W.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
-    starts = (
-        drawn.groupBy(*LEVELS, "bucket")
-        .agg(F.sum("n_tokens").alias("t"))
-        .select(*LEVELS, "bucket", F.coalesce(start, F.lit(0)).alias("start"))
-    )
+    buckets = drawn.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("t")).withColumn("head", F.substring("bucket", 1, 1))
+    buckets = materialise(buckets, "mix-buckets")
+
+    def before(by: list[str], order: str) -> Column:
+        line = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        return F.coalesce(F.sum("t").over(line), F.lit(0))
+
+    # 16 sums of a leaf, then 256 of each: no window is longer.
+    heads = buckets.groupBy(*LEVELS, "head").agg(F.sum("t").alias("t")).select(*LEVELS, "head", before(LEVELS, "head").alias("head_start"))
+    starts = buckets.withColumn("inner_start", before([*LEVELS, "head"], "bucket")).join(heads, [*LEVELS, "head"])
+    starts = starts.select(*LEVELS, "bucket", (F.col("head_start") + F.col("inner_start")).alias("start"))
     running = F.sum("n_tokens").over(
         W.partitionBy(*LEVELS, "bucket").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, 0)
     )
