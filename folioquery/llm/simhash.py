@@ -57,18 +57,6 @@ def majority(hashes: np.ndarray) -> int:
     return out
 
 
-def widen(hashes: np.ndarray, n: int) -> list[np.ndarray]:
-    """``n`` streams of 64-bit hashes made from one by a bijective mixing of different constants."""
-    out = [hashes]
-    with np.errstate(over="ignore"):
-        for i in range(1, n):
-            x = hashes + np.uint64(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            out.append(x ^ (x >> np.uint64(31)))
-    return out
-
-
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -252,27 +240,12 @@ def _search(bucket: np.ndarray, ids: np.ndarray, codes: np.ndarray, limit: int)
     return tree_edges(ids, label)
 
 
-#: Near copies: words of 64 bits in a code over shingles, bands of a code over single words, bits of a band.
-CODE_WORDS, BANDS, BAND_BITS = 6, 16, 20
-_BAND_WORDS = -(-BANDS * BAND_BITS // 64)
-
-
-def bit_limit(similarity: float, bits: int = 64 * CODE_WORDS) -> int:
+def bit_limit(similarity: float, bits: int = 384) -> int:
     """Differing bits within which a pair at the given Jaccard similarity of shingles falls (two standard deviations included)."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     return int(bits * share + 2 * np.sqrt(bits * share * (1 - share)))
 
 
-def wide_majority(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Majority bits of ``n`` mixed streams of the hashes, as bits."""
-    if not len(hashes):
-        return np.zeros(64 * n, dtype=np.uint8)
-    rows = np.concatenate([x.astype(">u8").view(np.uint8).reshape(-1, 8) for x in widen(hashes, n)], axis=1)
-    cells = rows.astype(np.int64) + np.arange(8 * n) * 256
-    count = np.bincount(cells.ravel(), minlength=8 * n * 256).reshape(8 * n, 256)
-    return ((count.astype(np.float64) @ _BITS.astype(np.float64)).ravel() * 2 > len(hashes)).astype(np.uint8)
-
-
 def _pairs(bucket: np.ndarray, codes: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links within buckets. A bucket no larger than a leaf is one leaf, compared for all such buckets at once; a larger one gets an index."""
     start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -289,36 +262,12 @@ def _pairs(bucket: np.ndarray, codes: np.ndarray, limit: int) -> Iterator[tuple[
             yield i[keep] + at, j[keep] + at
 
 
-def near_codes(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id``, ``sum`` (of the text), ``keys`` (bands) and the code ``c0``... of every whole text."""
-    weights = 1 << np.arange(BAND_BITS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, codes = [], []
-            for t in batch.column(2):
-                words = words_of(t.as_py())
-                codes.append(np.packbits(wide_majority(np.unique(shingle_hashes(words, width)), CODE_WORDS)).view(">i8").astype(np.int64))
-                single = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(words)], dtype=np.uint64)
-                bands = wide_majority(single, _BAND_WORDS)[: BANDS * BAND_BITS].reshape(BANDS, BAND_BITS)
-                keys.append(bands @ weights)
-            code = np.stack(codes, axis=1) if codes else np.zeros((CODE_WORDS, 0), dtype=np.int64)
-            flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), listed, *map(pa.array, code)], ["doc_id", "sum", "keys", *(f"c{i}" for i in range(CODE_WORDS))])
-
-    text = F.coalesce("text", F.lit(""))
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("sum"), text.alias("text"))
-    return read.mapInArrow(run, "doc_id long, sum long, keys array<long>, " + ", ".join(f"c{i} long" for i in range(CODE_WORDS)))
-
-
 def drop_near_duplicates(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Keep one document, the one with the smallest id, of each group of near copies.
 
-    Two texts are near copies if the wide SimHash codes (384 bits) of their five-word shingles differ in no more bits
-    than a pair at the given Jaccard similarity does. Codes are compared
-    within buckets, by the Gray-order index: a bucket holds the texts that agree
-    in one of 16 bands of a SimHash over their distinct words, which a few edits hardly change. Groups are the components of the links.
+    Two texts are near copies if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more.
+    Every such pair is found (prefix filtering, see ``jaccard.near_sets``) and every link is verified on the
+    whole sets. Groups are the components of the links, so two texts of a group may be less similar than that to each other.
 
     Returns the rows of ``docs`` that stay, all columns.
 
@@ -327,12 +276,10 @@ def drop_near_duplicates(docs: DataFrame, *, width: int = 5, similarity: float =
     * repeated rows: one of them. Rows that share an id but not the text: decided by their texts.
     * empty table: empty result.
     """
-    codes = [f"c{i}" for i in range(CODE_WORDS)]
-    prints = materialise(near_codes(docs, width).withColumn("node", F.xxhash64(*codes)), "near-codes")
-    distinct = prints.groupBy("node").agg(*[F.first(c).alias(c) for c in ["keys", *codes]])
-    keyed = distinct.select(F.posexplode("keys").alias("band", "key"), F.col("node").alias("id"), *codes)
-    found = components(near_links(keyed, CODE_WORDS, bit_limit(similarity)))
-    narrow = prints.select("doc_id", "sum", "node")
+    from folioquery.llm.jaccard import near_sets
+
+    narrow, links = near_sets(docs, width, similarity)
+    found = components(links)
     grouped = materialise(
         narrow.join(found, "node", "left").select("doc_id", "sum", F.coalesce("component", "node").alias("component")), "near-groups"
     )
