@@ -97,6 +97,32 @@ canonical(
     {"select": ["o_orderstatus", "o_orderpriority"], "order_by": [{"field": "o_orderstatus", "direction": "desc"}, {"field": "o_orderpriority"}], "limit": 100},
     f"SELECT {_ORDER}, o_orderstatus, o_orderpriority FROM orders ORDER BY o_orderstatus DESC NULLS FIRST, o_orderpriority ASC NULLS LAST, path LIMIT 100",
 )
+# A place for every row, where the two queries above return the first rows alone.
+def ordered_whole(name: str, source: str, spec: dict, sql: str) -> None:
+    """Register a canonical query over a whole table with every row's place in its order."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return numbered(run_query(records(spark, sf_dir, source), spec).results)
+
+    query(name, sql)(run)
+
+
+def numbered(ordered: DataFrame) -> DataFrame:
+    """The rows of an ordered result with their ``place``, from 1; partitions of a sorted table are counted, not gathered."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields)
+    return ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)).toDF(f"{fields}, place long")
+
+
+ordered_whole(
+    "order_nulls_desc_whole", "orders",
+    {"projections": {"k": {"expr": "o_totalprice / (o_custkey % 3 == 0 ? 0.0 : 1.0)"}}, "select": ["o_orderkey", "projection.k"], "order_by": [{"field": "projection.k", "direction": "desc"}]},
+    f"SELECT *, row_number() OVER (ORDER BY k DESC NULLS FIRST, path) AS place FROM (SELECT {_ORDER}, o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_totalprice END AS k FROM orders)",
+)
+ordered_whole(
+    "order_multi_key_whole", "orders",
+    {"select": ["o_orderstatus", "o_orderpriority"], "order_by": [{"field": "o_orderstatus", "direction": "desc"}, {"field": "o_orderpriority"}]},
+    f"SELECT *, row_number() OVER (ORDER BY o_orderstatus DESC NULLS FIRST, o_orderpriority ASC NULLS LAST, path) AS place FROM (SELECT {_ORDER}, o_orderstatus, o_orderpriority FROM orders)",
+)
 canonical(
     "page_offset_limit", "customer",
     {"select": ["c_custkey", "c_acctbal"], "order_by": [{"field": "c_acctbal"}], "offset": 50, "limit": 25},
@@ -192,6 +218,15 @@ def enum_order(spark, sf_dir):
     return r.results.select("path", "o_orderpriority")
 
 
+@query(
+    "enum_order_whole",
+    f"SELECT *, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '5-LOW' THEN 1 WHEN '1-URGENT' THEN 2 WHEN '3-MEDIUM' THEN 3 ELSE 6 END, path) AS place FROM (SELECT {_ORDER}, o_orderpriority FROM orders)",
+)
+def enum_order_whole(spark, sf_dir):
+    r = run_plain_query(records(spark, sf_dir, "orders"), {"order_by": ["o_orderpriority"]}, enums={"o_orderpriority": ["5-LOW", "1-URGENT", "3-MEDIUM"]})
+    return numbered(r.results.select("path", "o_orderpriority"))
+
+
 @query(
     "keyset_page",
     "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice < 200000 OR (o_totalprice = 200000 AND o_orderkey > 7) ORDER BY o_totalprice DESC, o_orderkey LIMIT 50",
@@ -425,6 +460,15 @@ def view_merge_shared_local(spark, sf_dir):
     return run_saved(records(spark, sf_dir, "part"), doc, "cheap").results
 
 
+@query(
+    "view_merge_whole",
+    "SELECT *, row_number() OVER (ORDER BY p_retailprice DESC, path) AS place FROM (SELECT 'part/' || p_partkey AS path, p_partkey, p_retailprice, p_retailprice * 2 AS twice FROM part WHERE p_size > 10 AND p_retailprice * 2 < 2400)",
+)
+def view_merge_whole(spark, sf_dir):
+    doc = {"query": {"where": "p_size > 10", "projections": {"twice": {"expr": "p_retailprice * 2.0"}}, "order_by": [{"field": "p_retailprice", "direction": "desc"}]}, "views": [{"name": "cheap", "query": {"where": "projection.twice < 2400.0", "select": ["p_partkey", "p_retailprice", "projection.twice"]}}]}
+    return numbered(run_saved(records(spark, sf_dir, "part"), doc, "cheap").results)
+
+
 _VIEW = """
 filters: {and: ['p_size > 5']}
 formulas: {urgency: 'p_size * 10 + p_partkey'}
