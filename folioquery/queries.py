@@ -420,6 +420,34 @@ def resolve_unique_policy(spark, sf_dir):
     return links.resolve(asked, target, unique=True)
 
 
+_EVERY = _RANKED.replace(" HAVING min(p_partkey) <= 3", " UNION ALL SELECT 'absent ' || p_name FROM part GROUP BY p_name")
+
+
+def _every_name(spark, sf_dir):
+    """Every supplier names every part, and as many names that no part has."""
+    name = table(spark, sf_dir, "part").select("p_name").distinct()
+    name = name.unionByName(name.select(F.concat(F.lit("absent "), "p_name").alias("p_name")))
+    source = F.concat(F.lit("b"), (F.col("s_suppkey") % 7).cast("string"), F.lit("/supplier"), F.col("s_suppkey").cast("string"), F.lit(".md"))
+    asked = table(spark, sf_dir, "supplier").crossJoin(name)
+    return asked.select(source.alias("source_path"), F.concat(F.lit("[["), F.col("p_name"), F.lit("]]")).alias("raw_target")), _named_parts(spark, sf_dir)[1]
+
+
+@query(
+    "resolve_ranked_every_name",
+    _EVERY + " SELECT source_path, raw_target, path AS target_path, CASE WHEN path IS NULL THEN 'missing' END AS reason FROM (SELECT s.*, t.path, row_number() OVER (PARTITION BY source_path, raw_target ORDER BY t.folder <> s.folder, len(string_split(t.path, '/')), t.path) AS n FROM s LEFT JOIN t ON t.k = lower(s.p_name)) WHERE n = 1",
+)
+def resolve_ranked_every_name(spark, sf_dir):
+    return links.resolve(*_every_name(spark, sf_dir))
+
+
+@query(
+    "resolve_unique_every_name",
+    _EVERY + " SELECT source_path, raw_target, CASE WHEN count(t.path) = 1 THEN min(t.path) END AS target_path, CASE WHEN count(t.path) > 1 THEN 'ambiguous' WHEN count(t.path) = 0 THEN 'missing' END AS reason FROM s LEFT JOIN t ON t.k = lower(s.p_name) GROUP BY 1, 2",
+)
+def resolve_unique_every_name(spark, sf_dir):
+    return links.resolve(*_every_name(spark, sf_dir), unique=True)
+
+
 @query(
     "uniqueness_conflicts",
     "WITH s AS (SELECT text AS value FROM documents GROUP BY 1 HAVING count(*) > 1) SELECT 'documents/' || doc_id AS path, md5(text) AS value FROM documents JOIN s ON text = value UNION ALL "

@@ -24,3 +24,15 @@ def test_every_place_of_an_order_is_returned(spark, name):
     if name != "view_merge_whole":
         assert len(got) == con.execute("SELECT count(*) FROM orders").fetchone()[0]
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["resolve_ranked_every_name", "resolve_unique_every_name"])
+def test_every_name_is_resolved(spark, name):
+    con = duckdb.connect()
+    for t in ("part", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    cur = con.execute(ORACLE[name])
+    columns = [c[0] for c in cur.description]
+    got = [tuple(r) for r in QUERIES[name](spark, DATA).select(*columns).collect()]
+    assert sorted(got, key=str) == sorted(cur.fetchall(), key=str)
+    assert len(got) == con.execute("SELECT (SELECT count(*) FROM supplier) * 2 * (SELECT count(DISTINCT p_name) FROM part)").fetchone()[0]
