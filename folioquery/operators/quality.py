@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioquery.operators.frame import Records
 from folioquery.operators.types import Field
 from folioquery.plans.compiler import Val
+from folioquery.storage import materialise
 from folioquery.values import STRING, canonical_json, dynamic_kind
 
 
@@ -89,23 +89,28 @@ def uniqueness_conflicts(records: Records, field: str, *, scope: Column | None =
 def generate_sequence(df: DataFrame, column: str, order: list[Column], *, start: int = 1) -> DataFrame:
     """Fill a null whole number with max + 1, + 2, ... (at least ``start``) in order.
 
-    Places come from counts by range: rows are sorted in ranges, numbered within each, and the
-    ranges' counts (one row each) are added up, so no task holds all rows.
+    Rows are sorted in ranges and written once to the shared folder with their range and place in it;
+    counts (one row for each range) and rows are both read from what was written, so range bounds
+    are drawn only once and no task holds all rows. A range without a count is an error, never a lost row.
     """
     spark = df.sparkSession
     top = df.agg(F.max(column).alias("m")).first()["m"]
     first = start if top is None else max(start, int(top) + 1)
-    open_ = df.where(F.col(column).isNull()).repartitionByRange(*order).sortWithinPartitions(*order)
-    open_ = open_.withColumn("__part", F.spark_partition_id())
-    open_ = open_.withColumn("__nth", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
-    counts = {r["__part"]: r["n"] for r in open_.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, n = {}, 0
+    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # A stated number of ranges is never merged; ids within a task follow the order of its rows.
+    ranged = df.where(F.col(column).isNull()).repartitionByRange(width, *order).sortWithinPartitions(*order)
+    open_ = materialise(ranged.withColumn("__at", F.monotonically_increasing_id()), "sequence")
+    part, nth = F.shiftright("__at", 33).cast("int"), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = {r["p"]: r["n"] for r in open_.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, n = [], 0
     for p in sorted(counts):
-        before[p] = n
+        before.append((p, n))
         n += counts[p]
-    offsets = spark.createDataFrame([(p, b) for p, b in before.items()], "__part int, __before long")
-    filled = open_.join(F.broadcast(offsets), "__part").withColumn(column, (F.lit(first) + F.col("__before") + F.col("__nth") - 1).cast("long"))
-    return df.where(F.col(column).isNotNull()).unionByName(filled.drop("__part", "__nth", "__before"))
+    offsets = spark.createDataFrame(before, "__part int, __before long")
+    placed = open_.withColumn("__part", part).join(F.broadcast(offsets), "__part", "left")
+    offset = F.coalesce("__before", F.raise_error(F.lit("a range of the sequence has no count")).cast("long"))
+    filled = placed.withColumn(column, (F.lit(first) + offset + nth).cast("long")).select(*df.columns)
+    return df.where(F.col(column).isNotNull()).unionByName(filled)
 
 
 def slugify(text: Column) -> Column:

@@ -681,10 +681,9 @@ def concurrency_replace(spark, sf_dir):
     return ev.concurrency(table(spark, sf_dir, "events"), "user_id", [F.col("ts"), F.col("event_id")], "replace").select("event_id", "outcome")
 
 
-@query("ordered_feed", "SELECT event_id, 1000 + row_number() OVER (ORDER BY ts, event_id) AS watermark FROM events WHERE event_type <> 'view'")
+@query("ordered_feed", "SELECT event_id, 1000 + row_number() OVER (ORDER BY ts, event_id) AS watermark FROM events")
 def ordered_feed(spark, sf_dir):
-    kept = table(spark, sf_dir, "events").where("event_type <> 'view'").select("event_id", "ts")
-    return ev.ordered_feed(kept, 1000, [F.col("ts"), F.col("event_id")]).select("event_id", "watermark")
+    return ev.ordered_feed(table(spark, sf_dir, "events").select("event_id", "ts"), 1000, [F.col("ts"), F.col("event_id")]).select("event_id", "watermark")
 
 
 @query(

@@ -1,13 +1,13 @@
 """Queries over whole tables: every row is returned and compared with the SQL."""
 
-import sys
-
 import pytest
+from pyspark.sql import functions as F
 
-sys.path.append("/opt/oracle")
 duckdb = pytest.importorskip("duckdb")
 
+from folioquery.operators import quality  # noqa: E402
 from folioquery.queries import ORACLE, QUERIES  # noqa: E402
+from folioquery.streaming import events as ev  # noqa: E402
 
 DATA = "/root/testdata/sf0.01"
 
@@ -36,3 +36,24 @@ def test_every_name_is_resolved(spark, name):
     got = [tuple(r) for r in QUERIES[name](spark, DATA).select(*columns).collect()]
     assert sorted(got, key=str) == sorted(cur.fetchall(), key=str)
     assert len(got) == con.execute("SELECT (SELECT count(*) FROM supplier) * 2 * (SELECT count(DISTINCT p_name) FROM part)").fetchone()[0]
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_sequences_are_dense_over_many_ranges(spark, adaptive):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", "37")
+        n = 1_000_000
+        df = spark.range(n).select("id", F.pmod(F.xxhash64("id"), F.lit(1000)).alias("k"))
+        feed = ev.ordered_feed(df, 50, [F.col("k"), F.col("id")])
+        out = feed.agg(F.count(F.lit(1)), F.count_distinct("watermark"), F.min("watermark"), F.max("watermark")).first()
+        assert tuple(out) == (n, n, 51, 50 + n)
+        nxt = feed.select((F.col("watermark") - 1).alias("watermark"), F.struct("k", "id").alias("after"))
+        assert feed.join(nxt, "watermark").where(F.struct("k", "id") >= F.col("after")).isEmpty()
+        numbers = df.withColumn("number", F.when(F.col("id") < 10, F.col("id") + 7))
+        out = quality.generate_sequence(numbers, "number", [F.col("id")]).agg(F.count_distinct("number"), F.max("number"), F.count(F.lit(1))).first()
+        assert tuple(out) == (n, n + 6, n)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
