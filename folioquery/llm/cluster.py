@@ -1,46 +1,10 @@
-"""Shared-storage helpers: where to cut lineage so that lost executors cost nothing."""
+"""What operators share: where lineage is cut, and what counts as white space."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from folioquery.storage import discard, materialise, shared_dir
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["ASCII_SPACE", "discard", "materialise", "shared_dir"]
 
 #: ASCII white space: what every operator of this package strips and splits on.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the one the cluster names in ``spark.checkpoint.dir``. Where that is
-    unset (tests, a single machine) a folder under the temporary directory is
-    chosen and recorded in the session.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.gettempdir()}/folioquery-shared"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return the reread table.
-
-    Later stages read files that outlive any executor, and Spark knows the exact
-    size of the table when it chooses a join. The files go when the application
-    ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

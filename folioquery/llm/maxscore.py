@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 from folioquery.llm.cluster import materialise
 from folioquery.llm.vectors import by_block, merge_best, usable
 
-#: Vectors of one shard; terms that are probed between two prunings.
-SHARD, PROBE = 4096, 8
+#: Vectors of one shard: the fewest and the most; more than SHARDS shards are made only of the largest.
+SHARD, LARGEST, SHARDS = 4096, 65_536, 64
+#: Terms that are probed between two prunings.
+PROBE = 4
 
 
 class Shard:
     """Postings of a shard: for every term (dimension) the values of all vectors, with the bounds of the term.
 
-    A component of a query times its term's largest or smallest value bounds what the term can
-    add; everything is counted from the least that it can add, so bounds are never negative.
+    A query's component times the term's smallest and largest value bounds what the term can
+    add. All is counted from the least that each term can add, so a term's bound is the width of that range.
     """
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
@@ -29,57 +31,65 @@ class Shard:
         self.high, self.low = self.postings.max(axis=1), self.postings.min(axis=1)
         # With repeated ids, as many more vectors are kept as one id can hide.
         self.repeat = int(np.unique(self.ids, return_counts=True)[1].max())
+        #: Terms traversed, terms in all, vectors probed and vectors in all, over the queries so far.
+        self.work = np.zeros(4, dtype=np.int64)
+
+    def essential(self, least: np.ndarray, rest: np.ndarray, theta: float) -> int:
+        """How many terms are essential: the shortest prefix without which nothing reaches the threshold.
+
+        A vector with the least value on all terms of the prefix has at most their least sum and the rest's bound.
+        """
+        bound = np.concatenate([[0.0], np.cumsum(least)]) + rest
+        short = np.flatnonzero(bound < theta)
+        return int(short[0]) if len(short) else len(least)
 
     def best(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` best (ids, scores) of the shard, ties to the smaller id; never the query itself."""
         a, b = q * self.high, q * self.low
         most, least = np.maximum(a, b), np.minimum(a, b)
         terms = np.argsort(-(most - least), kind="stable")
+        most, least, q, n = most[terms], least[terms], q[terms], len(terms)
         # rest[m]: the most that the terms after the first m can add
-        rest = np.concatenate([np.cumsum(most[terms][::-1])[::-1], [0.0]])
+        rest = np.concatenate([np.cumsum(most[::-1])[::-1], [0.0]])
         k, wanted = k * self.repeat, k
-        own = self.ids == query_id
-        # The threshold starts from the vectors that are best on the strongest terms.
-        m = min(PROBE, len(terms))
-        part = q[terms[:m]] @ self.postings[terms[:m]]
-        part[own] = -np.inf
-        n_other = len(part) - int(own.sum())
-        if n_other <= k:
-            alive = np.flatnonzero(~own)
-            theta = -np.inf
-        else:
-            first = np.argpartition(-part, k - 1)[:k]
-            theta = np.partition(q @ self.postings[:, first], 0)[0]
-            # Essential terms: without them no vector can reach the threshold.
-            while m < len(terms) and part.max() + rest[m] >= theta and rest[m] > rest[0] - rest[m]:
-                part = part + q[terms[m]] * self.postings[terms[m]]
-                m += 1
-            alive = np.flatnonzero((part + rest[m] >= theta) & ~own)
+        others = np.flatnonzero(self.ids != query_id)
+        theta = -np.inf
+        if len(others) > k:
+            # A first threshold, reached by the vectors that are best on the strongest terms.
+            head = q[:PROBE] @ self.postings[terms[:PROBE]]
+            theta = self._reached(q, terms, others[np.argpartition(-head[others], k - 1)[:k]])
+        m = self.essential(least, rest, theta)
+        part = q[:m] @ self.postings[terms[:m]]
+        if len(others) > k:
+            theta = max(theta, self._reached(q, terms, others[np.argpartition(-part[others], k - 1)[:k]]))
+        alive = others[part[others] + rest[m] >= theta]
         part = part[alive]
+        self.work += (m, n, len(alive), len(others))
         # The other terms are probed only for vectors that can still compete.
-        while m < len(terms) and len(alive):
-            more = terms[m : m + PROBE]
-            part = part + q[more] @ self.postings[np.ix_(more, alive)]
-            m += len(more)
-            if m < len(terms) and len(part) > k:
-                low = np.partition(part, len(part) - k)[len(part) - k] + (rest[m] - (most - least)[terms[m:]].sum())
-                theta = max(theta, low)
-                keep = part + rest[m] >= theta
-                alive, part = alive[keep], part[keep]
+        while m < n and len(alive):
+            to = min(n, m + PROBE)
+            part = part + q[m:to] @ self.postings[np.ix_(terms[m:to], alive)]
+            m = to
+            keep = part + rest[m] >= theta
+            alive, part = alive[keep], part[keep]
         top = np.lexsort((self.ids[alive], -part))[:k]
         if self.repeat > 1:
             top = top[np.sort(np.unique(self.ids[alive][top], return_index=True)[1])][:wanted]
         return self.ids[alive][top], part[top].astype(np.int64)
 
+    def _reached(self, q: np.ndarray, terms: np.ndarray, some: np.ndarray) -> float:
+        """The least whole score of some vectors."""
+        return float((q @ self.postings[np.ix_(terms, some)]).min())
+
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, *, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` largest integer inner products of every query with all other rows, exactly.
 
-    Components become floor(scale * x). Rows are dealt by hash into shards of about
-    SHARD vectors; every query meets every shard. In a shard the query's terms
-    are split by their score bounds: essential terms are traversed for all
-    vectors, the others are probed only while a vector can still reach the threshold. The
-    shards' results are merged by query.
+    Components become floor(scale * x). Rows are dealt by hash into shards of
+    SHARD to LARGEST vectors; every query meets every shard. In a shard the query's terms
+    are split by their score bounds: the essential ones, without which no vector reaches the
+    threshold, are traversed for all vectors, the others are probed only while a vector can still
+    reach it. The shards' results are merged by query.
 
     Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``; fewer than ``k`` rows where fewer candidates exist.
 
@@ -97,7 +107,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, *, scale: int = 256,
         "search-vectors",
     )
     size = clean.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
-    shards, dim = max(1, -(-size["n"] // SHARD)), size["dim"] or 0
+    shards, dim = max(1, -(-size["n"] // min(LARGEST, max(SHARD, size["n"] // SHARDS)))), size["dim"] or 0
     rows = clean.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("is_query"), "vec_id", "v")
     asked = clean.where("asks").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"), "vec_id", "v")
 
