@@ -22,7 +22,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, folds: in
 
     * labels that are null or neither 0 nor 1, and labels of null ids: left out.
     * an id with both labels: left out; repeated equal labels: one.
-    * several documents with one id: one of them. Null texts: empty.
+    * several documents with one id: the one whose text has the smallest hash. Null texts: empty.
     """
     clear = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
@@ -39,7 +39,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, folds: in
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
     # The drawn ids are at most 2 * per_class rows.
-    return materialise(
-        texts.join(F.broadcast(drawn.select("doc_id", "label", "draw")), "doc_id").dropDuplicates(["doc_id"]),
-        f"labelled-{label}",
-    )
+    found = texts.join(F.broadcast(drawn.select("doc_id", "label", "draw")), "doc_id")
+    one = found.groupBy("doc_id", "label", "draw").agg(F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text"), "text", "lang")).alias("t"))
+    return materialise(one.select("doc_id", "t.text", "label", "t.lang", "draw"), f"labelled-{label}")

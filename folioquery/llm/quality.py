@@ -16,22 +16,21 @@ from folioquery.llm.labelled import fold, labelled_sample
 #: Whole texts are compressed in blocks of this many bytes, so that a dictionary
 #: helps all of a text and not only its beginning.
 BLOCK = 512
-DICTIONARY_BYTES = 112_640
+DICTIONARY_BYTES = 400_000
 LEVEL = 3
-#: At most this many blocks of a document go into a dictionary.
-BLOCKS_PER_DOC = 8
+#: Blocks of a class that train its dictionary, drawn from the whole texts of the sample.
+DICTIONARY_BLOCKS = 8000
 
 
 @dataclass(frozen=True)
 class CompressionModel:
-    """Two dictionaries and a logistic curve over compressed sizes."""
+    """Two dictionaries and a rising logistic curve over the normalised difference of compressed sizes."""
 
     good: bytes
     bad: bytes
     raw: bool
-    mean: tuple[float, ...] = ()
-    scale: tuple[float, ...] = ()
-    weights: tuple[float, ...] = ()
+    slope: float | None = None
+    offset: float = 0.0
     prior: float = 0.5
 
     def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
@@ -46,10 +45,9 @@ class CompressionModel:
         return make(self.good), make(self.bad)
 
     def score(self, sizes: np.ndarray) -> np.ndarray:
-        if not self.weights:
+        if self.slope is None:
             return np.full(len(sizes), self.prior)
-        z = (_features(sizes) - np.array(self.mean)) / np.array(self.scale)
-        return _sigmoid(z @ np.array(self.weights[:-1]) + self.weights[-1])
+        return _sigmoid(self.slope * difference(sizes) + self.offset)
 
 
 def blocks(text: str) -> list[bytes]:
@@ -57,44 +55,38 @@ def blocks(text: str) -> list[bytes]:
     return [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
 
 
-def compressed_sizes(text: str, good, bad) -> tuple[int, int, int]:
-    """Bytes of the text: raw, under the good dictionary, under the bad one."""
-    n = g = b = 0
+def compressed_sizes(text: str, good, bad) -> tuple[int, int]:
+    """Bytes of the text under the good dictionary and under the bad one."""
+    g = b = 0
     for block in blocks(text):
-        n += len(block)
         g += len(good.compress(block))
         b += len(bad.compress(block))
-    return n, g, b
+    return g, b
 
 
-def _features(sizes: np.ndarray) -> np.ndarray:
-    """The size difference, normalised by the larger size and by the text, with both ratios."""
-    n, g, b = sizes.astype(np.float64).T
-    one = np.maximum(n, 1)
-    x = np.stack([(b - g) / np.maximum(np.maximum(g, b), 1), (b - g) / one, g / one, b / one], axis=1)
-    return np.concatenate([x, x * x, x[:, :1] * x[:, 1:]], axis=1)
+def difference(sizes: np.ndarray) -> np.ndarray:
+    """How much smaller the good dictionary makes a text than the bad one, by the larger size: -1 to 1; 0 for no text."""
+    g, b = sizes.astype(np.float64).T
+    return (b - g) / np.maximum(np.maximum(g, b), 1)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_curve(sizes: np.ndarray, y: np.ndarray, share: float) -> tuple[tuple, tuple, tuple]:
-    """Logistic regression by Newton steps with an L2 penalty; classes weighted to ``share`` good."""
-    x = _features(sizes)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    z = np.concatenate([(x - mean) / scale, np.ones((len(x), 1))], axis=1)
+def fit_curve(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
+    """Slope (never falling) and offset of a logistic curve by Newton steps; classes weighted to ``share`` good."""
+    scale = x.std() + 1e-9
+    z = np.stack([x / scale, np.ones(len(x))], axis=1)
     w = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-    ridge = np.eye(z.shape[1])
-    ridge[-1, -1] = 1e-6
-    beta = np.zeros(z.shape[1])
+    ridge, beta = np.diag([1e-2, 1e-6]), np.zeros(2)
     for _ in range(50):
         p = _sigmoid(z @ beta)
         step = np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (w * (p - y)) + ridge @ beta)
         beta -= step * min(1.0, 4.0 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-6:
             break
-    return tuple(mean), tuple(scale), tuple(beta)
+    return float(max(beta[0], 0.0) / scale), float(beta[1])
 
 
 def _dictionary(samples: list[bytes]) -> bytes | None:
@@ -104,12 +96,12 @@ def _dictionary(samples: list[bytes]) -> bytes | None:
         return None
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_out: int = 1, per_class: int = 2000) -> CompressionModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_out: int = 1, per_class: int = 2000, dictionary_blocks: int = DICTIONARY_BLOCKS) -> CompressionModel:
     """Train on at most ``per_class`` documents of each class outside the held-out fold.
 
-    Half of them give blocks for the two dictionaries; the whole texts of the
-    other half are compressed on the executors to fit the curve. The driver
-    sees at most BLOCKS_PER_DOC blocks of a document, and three sizes.
+    Half of them give blocks for the two dictionaries: ``dictionary_blocks`` a class, drawn in order of a hash
+    from whole texts, one of every document before a second of any. The whole texts of the
+    other half are compressed on the executors to fit the curve; the driver sees two sizes of each.
     With too few samples to train a dictionary the blocks themselves serve as
     one. If a class has fewer than two documents, every score is the share of good labels (0.5 without labels).
     """
@@ -118,32 +110,34 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_out:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for text, label, draw in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own = blocks(text.as_py())
-                own = own[:: max(1, -(-len(own) // BLOCKS_PER_DOC))]
-                yield pa.RecordBatch.from_arrays([pa.array([label] * len(own), pa.int32()), pa.array(own, pa.binary())], ["label", "block"])
-
-    rows = sample.where(half == 0).select("text", "label").mapInArrow(cut, "label int, block binary").collect()
+                order = np.random.default_rng(draw & (2**63 - 1)).permutation(len(own))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([label] * len(own), pa.int32()), pa.array(np.arange(len(own)), pa.int64()), pa.array([draw] * len(own), pa.int64()), pa.array([own[i] for i in order], pa.binary())],
+                    ["label", "nth", "draw", "block"],
+                )
+
+    cuts = sample.where(half == 0).select("text", "label", "draw").mapInArrow(cut, "label int, nth long, draw long, block binary")
+    side = {y: [bytes(r["block"]) for r in cuts.where(F.col("label") == y).orderBy("nth", "draw", "block").limit(dictionary_blocks).collect()] for y in (0, 1)}
     count = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     clear = labels.where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id"), folds) != held_out))
     share = clear.agg(F.avg(F.col("quality").cast("double")).alias("p")).first()["p"]
     prior = 0.5 if share is None else float(share)
-    side = {y: sorted(bytes(r["block"]) for r in rows if r["label"] == y) for y in (0, 1)}
     if min(count.get(0, 0), count.get(1, 0)) < 2 or not side[0] or not side[1]:
         return CompressionModel(b"", b"", True, prior=prior)
     trained = [_dictionary(side[1]), _dictionary(side[0])]
     raw = None in trained
     if raw:
-        trained = [b"".join(side[y])[-DICTIONARY_BYTES:] for y in (1, 0)]
+        trained = [b"".join(side[y])[:DICTIONARY_BYTES] for y in (1, 0)]
     model = CompressionModel(trained[0], trained[1], raw)
     other = sample.where(half == 1)
     fitted = _sizes(other.select(F.col("label").cast("long").alias("doc_id"), "text"), model).collect()
     y = np.array([r["doc_id"] for r in fitted], dtype=np.float64)
     if len(y) == 0 or y.min() == y.max():
         return CompressionModel(b"", b"", True, prior=prior)
-    sizes = np.array([(r["n"], r["good"], r["bad"]) for r in fitted])
-    mean, scale, weights = fit_curve(sizes, y, min(max(prior, 0.01), 0.99))
-    return CompressionModel(trained[0], trained[1], raw, mean, scale, weights, prior)
+    slope, offset = fit_curve(difference(np.array([(r["good"], r["bad"]) for r in fitted])), y, min(max(prior, 0.01), 0.99))
+    return CompressionModel(trained[0], trained[1], raw, slope, offset, prior)
 
 
 def _sizes(docs: DataFrame, model: CompressionModel) -> DataFrame:
@@ -151,17 +145,17 @@ def _sizes(docs: DataFrame, model: CompressionModel) -> DataFrame:
         good, bad = model.compressors()
         for batch in batches:
             sizes = [compressed_sizes(t.as_py() or "", good, bad) for t in batch.column(1)]
-            n, g, b = (pa.array(x, pa.int64()) for x in (zip(*sizes, strict=True) if sizes else ([], [], [])))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), n, g, b], ["doc_id", "n", "good", "bad"])
+            g, b = (pa.array(x, pa.int64()) for x in (zip(*sizes, strict=True) if sizes else ([], [])))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), g, b], ["doc_id", "good", "bad"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, good long, bad long")
+    return docs.mapInArrow(run, "doc_id long, good long, bad long")
 
 
 def score_quality(docs: DataFrame, model: CompressionModel) -> DataFrame:
     """All columns of ``docs`` with ``quality_score``, from the whole of every text.
 
-    The score is the chance of label 1, from the difference of the compressed sizes under both
-    dictionaries.
+    The score is the chance of label 1, from nothing but the normalised difference of the compressed sizes under
+    both dictionaries; it never falls as the difference rises.
 
     * null and empty texts: the score of a text of no bytes.
     * an input column named ``quality_score`` is replaced.
@@ -173,13 +167,13 @@ def score_quality(docs: DataFrame, model: CompressionModel) -> DataFrame:
     place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good, bad = model.compressors() if model.weights else (None, None)
+        good, bad = model.compressors() if model.slope is not None else (None, None)
         for batch in batches:
-            if model.weights:
+            if model.slope is not None:
                 sizes = [compressed_sizes(t.as_py() or "", good, bad) for t in batch.column(place)]
             else:
-                sizes = [(0, 0, 0)] * batch.num_rows
-            score = model.score(np.array(sizes, dtype=np.int64).reshape(-1, 3))
+                sizes = [(0, 0)] * batch.num_rows
+            score = model.score(np.array(sizes, dtype=np.int64).reshape(-1, 2))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*names, "quality_score"])
 
     return docs.select(*names).mapInArrow(run, shape)

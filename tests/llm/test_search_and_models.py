@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from folioquery.llm.components import components
 from folioquery.llm.hilbert import hilbert_keys, nearest
 from folioquery.llm.maxscore import Shard, top_k
-from folioquery.llm.quality import fit_quality, score_quality
+from folioquery.llm.quality import difference, fit_quality, score_quality
 from folioquery.llm.simhash import GrayIndex, bit_limit, drop_near_duplicates, gray_rank, simhash_groups, tree_edges
 from folioquery.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -59,6 +59,22 @@ def test_shard_matches_brute_force(n, dim, k, seed):
     assert [(-int(s), int(i)) for i, s in zip(got_ids, got, strict=True)] == want
 
 
+def test_essential_terms_are_the_shortest_prefix():
+    rng = np.random.default_rng(8)
+    v = np.floor(256 * rng.normal(size=(3000, 64)) / 8)
+    shard = Shard(np.arange(3000), v)
+    for i in range(20):
+        q = v[i]
+        most, least = np.maximum(q * shard.high, q * shard.low), np.minimum(q * shard.high, q * shard.low)
+        rest = np.concatenate([np.cumsum(most[::-1])[::-1], [0.0]])
+        theta = float(np.sort(v @ q)[-5])
+        m = shard.essential(least, rest, theta)
+        assert 0 < m < 64 and least[:m].sum() + rest[m] < theta <= least[: m - 1].sum() + rest[m - 1]
+        shard.best(i, q, 5)
+    traversed, terms, _, _ = shard.work
+    assert traversed < terms / 2
+
+
 def test_hilbert_curve_visits_neighbours():
     cells = np.array([[x, y, z] for x in range(8) for y in range(8) for z in range(8)])
     key = hilbert_keys(cells, 3)
@@ -261,6 +277,10 @@ def test_quality_is_learned(spark):
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 == 1]
     assert np.mean([(out[i] >= 0.5) == (i % 4 != 0) for i in held]) > 0.95
     assert all(0 <= s <= 1 for s in out.values()) and len(out) == len(docs)
+    assert 1000 in out and out[1000] == out[1001]
+    sizes = np.array([[300, 200], [250, 200], [200, 200], [200, 250], [0, 0]])
+    model = fit_quality(d, lab)
+    assert list(difference(sizes)) == [-1 / 3, -0.2, 0.0, 0.2, 0.0] and (np.diff(model.score(sizes)[:4]) > 0).all()
     none = fit_quality(d, lab.limit(0))
     assert {r.quality_score for r in score_quality(d, none).collect()} == {0.5}
     assert score_quality(d.limit(0), none).count() == 0
