@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +12,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 _NORMAL, _USER_DEFINED, _UNUSED, _BYTE = 1, 4, 5, 6
-#: Words of more symbols go through a heap, which needs no round for each merge.
-LONG_WORD = 256
+#: Symbols of a chunk: longer words are merged chunk by chunk, and joined where that gives the same.
+CHUNK = 48
 #: A word is a run of spaces and what follows up to the next space. No piece has
 #: a space after another character (checked on loading), so no merge crosses words.
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -76,29 +74,78 @@ class PieceModel:
         self.keys = np.array(keys, dtype=np.int64)[order]
         self.ranks = np.array(ranks, dtype=np.int64)[order]
         self.made = np.array(made, dtype=np.int64)[order]
-        self.table = {int(k): (int(r), int(m)) for k, r, m in zip(self.keys, self.ranks, self.made, strict=True)}
+        self.length = np.array([len(p) for p in self.pieces], dtype=np.int64)
 
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word. Long words one by one, all others in merge rounds."""
-        out: list = [None] * len(words)
-        short = []
-        for i, w in enumerate(words):
-            if len(w) > LONG_WORD:
-                out[i] = self._expand([w], *self._long_word(w))[0]
-            else:
-                short.append(i)
+        """Ids of each word, in merge rounds over as many words as a step takes."""
+        out: list[np.ndarray] = []
         at = 0
-        while at < len(short):
+        while at < len(words):
             size, end = 0, at
-            while end < len(short) and (size == 0 or size + len(words[short[end]]) <= STEP_CHARS):
-                size += len(words[short[end]])
+            while end < len(words) and (size == 0 or size + len(words[end]) <= STEP_CHARS):
+                size += len(words[end])
                 end += 1
-            part = [words[i] for i in short[at:end]]
-            for i, ids in zip(short[at:end], self._rounds(part), strict=True):
-                out[i] = ids
+            part = words[at:end]
+            out += self._expand(part, *self._merged(part))
             at = end
         return out
 
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all words and the word of each, fully merged.
+
+        A sequence of symbols is the whole word's result exactly if each two neighbours, encoded alone, stay
+        the two that they are: no merge would then cross between them, whatever stands around. So
+        words over CHUNK symbols are merged in chunks; where two chunks don't hold, the symbols around their border are
+        merged anew together, with twice as many each time, until every border holds.
+        """
+        if max(map(len, words), default=0) <= CHUNK:
+            return self._rounds(words)
+        chunks = [w[i : i + CHUNK] for w in words for i in range(0, len(w), CHUNK)]
+        per = np.array([-(-len(w) // CHUNK) for w in words])
+        sym, chunk = self._rounds(chunks)
+        word = np.repeat(np.arange(len(words)), per)[chunk]
+        text = "".join(words)
+        start = self._starts(sym)
+        edges = np.flatnonzero((chunk[1:] != chunk[:-1]) & (word[1:] == word[:-1])) + 1
+        reach = 2
+        while len(edges := edges[~self._holds(sym[edges - 1], sym[edges])]):
+            first, stop = np.searchsorted(word, word[edges]), np.searchsorted(word, word[edges], side="right")
+            low, high = np.maximum(edges - reach, first), np.minimum(edges + reach, stop)
+            # windows of one word that meet are one
+            new = np.r_[True, (low[1:] > np.maximum.accumulate(high)[:-1]) | (word[edges[1:]] != word[edges[:-1]])]
+            low, high = low[new], np.maximum.reduceat(high, np.flatnonzero(new))
+            ends = np.r_[start, len(text)]
+            again, window = self._rounds([text[a:b] for a, b in zip(ends[low].tolist(), ends[high].tolist(), strict=True)])
+            size = np.bincount(window, minlength=len(low))
+            # splice: every window's symbols take the place of the old ones
+            inside = np.zeros(len(sym) + 1, dtype=np.int64)
+            np.add.at(inside, low, 1)
+            np.add.at(inside, high, -1)
+            stay = np.cumsum(inside[:-1]) == 0
+            order = np.argsort(np.concatenate([start[stay], np.repeat(start[low], size)]), kind="stable")
+            owner = np.concatenate([word[stay], np.repeat(word[low], size)])[order]
+            borders = np.unique(np.concatenate([ends[low], ends[high]]))
+            sym, word = np.concatenate([sym[stay], again])[order], owner
+            start = self._starts(sym)
+            edges = np.searchsorted(start, borders[(borders > 0) & (borders < len(text))])
+            edges = edges[word[edges] == word[edges - 1]]
+            reach *= 2
+        return sym, word
+
+    def _starts(self, sym: np.ndarray) -> np.ndarray:
+        """Where each symbol begins in the text."""
+        size = np.where(sym >= 0, self.length[np.maximum(sym, 0)], 1)
+        return np.cumsum(size) - size
+
+    def _holds(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether two neighbouring symbols, encoded by themselves, stay what they are."""
+        key, back = np.unique(np.stack([left, right], axis=1), axis=0, return_inverse=True)
+        shown = lambda s: self.pieces[s] if s >= 0 else chr(-1 - s)
+        sym, word = self._rounds([shown(a) + shown(b) for a, b in key.tolist()])
+        at = np.searchsorted(word, np.arange(len(key)))
+        two = np.bincount(word, minlength=len(key)) == 2
+        return (two & (sym[at] == key[:, 0]) & (sym[np.minimum(at + 1, len(sym) - 1)] == key[:, 1]))[back.ravel()] if len(key) else np.zeros(0, dtype=bool)
+
     def _symbols(self, text: str) -> np.ndarray:
         """Ids of the characters; those that are no piece as -1 minus the code point."""
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -112,11 +159,11 @@ class PieceModel:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], np.iinfo(np.int64).max), at
 
-    def _rounds(self, words: list[str]) -> list[np.ndarray]:
-        """Merge rounds over flat symbol arrays.
+    def _rounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Merge rounds over flat symbol arrays: symbols and the word of each.
 
         In every round each word finds its smallest pair rank (a segmented minimum)
-        and merges the leftmost pair of that rank; all words at once. The arrays
+        and merges its pairs of that rank from the left; all words at once. The arrays
         are compacted after each round, and a word without a pair leaves them.
         """
         none = np.iinfo(np.int64).max
@@ -141,7 +188,8 @@ class PieceModel:
                 if not len(sym):
                     break
             hit = np.flatnonzero(rank == np.repeat(least, length))
-            hit = hit[np.r_[True, word[hit[1:]] != word[hit[:-1]]]]  # the leftmost of each word
+            if len(hit) > len(least):
+                hit = self._together(hit, sym, word, rank, place)
             sym[hit] = self.made[place[hit]]
             stay = np.ones(len(sym), dtype=bool)
             stay[hit + 1] = False
@@ -156,38 +204,29 @@ class PieceModel:
         sym = np.concatenate(done_sym) if done_sym else np.zeros(0, dtype=np.int64)
         word = np.concatenate(done_word) if done_word else np.zeros(0, dtype=np.int64)
         order = np.argsort(word, kind="stable")
-        return self._expand(words, sym[order], word[order])
-
-    def _long_word(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The same merges for one long word, with a heap over (rank, position)."""
-        sym = self._symbols(text).tolist()
-        n = len(sym)
-        nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[int, int, int, int]] = []
-
-        def push(i: int) -> None:
-            j = nxt[i]
-            if j < n and sym[i] >= 0 and sym[j] >= 0 and (found := self.table.get(sym[i] * self.n + sym[j])):
-                heapq.heappush(heap, (found[0], i, sym[i], sym[j]))
-
-        for i in range(n - 1):
-            push(i)
-        gone = bytearray(n)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = nxt[i]
-            if gone[i] or j >= n or sym[i] != a or sym[j] != b:
-                continue
-            sym[i] = self.table[a * self.n + b][1]
-            gone[j] = 1
-            nxt[i] = nxt[j]
-            if nxt[i] < n:
-                prev[nxt[i]] = i
-            push(i)
-            if prev[i] >= 0:
-                push(prev[i])
-        left = np.array([s for s, g in zip(sym, gone, strict=True) if not g], dtype=np.int64)
-        return left, np.zeros(len(left), dtype=np.int64)
+        return sym[order], word[order]
+
+    def _together(self, hit: np.ndarray, sym: np.ndarray, word: np.ndarray, rank: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Of the pairs of least rank, those that merge in one round just as they would one by one from the left.
+
+        Of pairs that share a symbol the left one merges. Where a merged symbol makes a pair that
+        comes before the ones still waiting, its word's later pairs wait for the next round.
+        """
+        fresh = np.r_[True, (hit[1:] != hit[:-1] + 1) | (word[hit[1:]] != word[hit[:-1]])]
+        run = np.maximum.accumulate(np.where(fresh, np.arange(len(hit)), 0))
+        hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
+        made, own = self.made[place[hit]], word[hit]
+        after = np.minimum(hit + 2, len(sym) - 1)
+        right, _ = self._lookup(made, sym[after])
+        right = np.where((after == hit + 2) & (word[after] == own), right, np.iinfo(np.int64).max)
+        before = np.maximum(hit - 1, 0)
+        near = np.r_[False, hit[1:] == hit[:-1] + 2]  # the symbol before is merged as well
+        left, _ = self._lookup(np.where(near, np.r_[0, made[:-1]], sym[before]), made)
+        left = np.where((hit > 0) & (word[before] == own), left, np.iinfo(np.int64).max)
+        early = np.minimum(left, right) <= rank[hit]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        stop = np.minimum.reduceat(np.where(early, np.arange(len(hit)), len(hit)), first)
+        return hit[np.arange(len(hit)) <= np.repeat(stop, np.diff(np.r_[first, len(hit)]))]
 
     def _expand(self, words: list[str], sym: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
         """Characters that are no piece become their UTF-8 bytes; then cut by word."""
@@ -214,29 +253,45 @@ class PieceModel:
         words = self.split(text)
         return [int(i) for part in self.encode_words(words) for i in part]
 
-    def encode_texts(self, texts: list[str], known: dict[str, tuple[np.ndarray, str]]) -> tuple[list[np.ndarray], list[str]]:
-        """Ids with the end id, and what they decode to, of each text.
+    def encode_texts(self, texts: list[str], known: Known) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Ids with the end id (of all texts, one after the other), how many each text has, and what they decode to.
 
         ``known`` keeps the ids and the decoded form of words from one call to the next. No
         character's bytes cross a word, so the decoded words joined are the decoded text.
         """
-        split = [self.split(t) for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        for w, ids in zip(new, self.encode_words(new), strict=True):
-            known[w] = (ids, self._surface(ids))
-        end = np.array([self.eos_id], dtype=np.int32)
-        all_ids, decoded = [], []
+        split = [self.bare_words(t) for t in texts]
+        new = list({w for words in split for w in words if w not in known.index})
+        # the end id is the last entry, whatever words came before
+        ids = self.encode_words([SPACE + w for w in new])
+        known.add(new, ids, [self._surface(i) for i in ids], np.array([self.eos_id], dtype=np.int32))
+        place, surface = known.index.__getitem__, known.surface.__getitem__
+        listed: list[int] = []
+        ends, decoded = [], []
         for words in split:
-            parts = [known[w] for w in words]
-            all_ids.append(np.concatenate([*[p[0] for p in parts], end]))
-            text = "".join([p[1] for p in parts])
-            decoded.append(text[1:] if text.startswith(" ") else text)
-        return all_ids, decoded
+            row = list(map(place, words))
+            decoded.append("".join(map(surface, row))[1:])
+            listed += row
+            listed.append(-1)
+            ends.append(len(listed))
+        flat = np.array(listed, dtype=np.int64)
+        size = known.size[flat]
+        begin = np.cumsum(size) - size
+        all_ids = known.ids[np.repeat(known.start[flat] - begin, size) + np.arange(size.sum())]
+        total = np.add.reduceat(size, [0, *ends[:-1]]) if ends else size
+        known.forget_long()
+        return all_ids, total, decoded
+
+    def bare_words(self, text: str) -> list[str]:
+        """Words of the text, each without the space in front of it. Empty texts have none."""
+        if not text:
+            return []
+        words = text.replace(SPACE, " ").split(" ")
+        return words if all(words) else [w[1:] for w in self.split(text)]
 
     def _surface(self, ids: np.ndarray) -> str:
         """The decoded form of a word inside a text: with its leading space."""
         listed = ids.tolist()
-        if any(i < 259 for i in listed):  # bytes and special pieces come first in the vocabulary
+        if listed and min(listed) < 259:  # bytes and special pieces come first in the vocabulary
             space = self.ids[SPACE]
             return self.decode([space, *listed])
         return "".join([self.pieces[i] for i in listed]).replace(SPACE, " ")
@@ -297,13 +352,52 @@ def _lenient(data: bytes) -> str:
         return "".join(out)
 
 
-@lru_cache(maxsize=2)
-def load(path: str) -> PieceModel:
-    return PieceModel(path)
+#: Characters of words and ids that a worker remembers; beyond, it forgets all and starts anew. Longer words are not remembered.
+REMEMBERED, LONGEST = 16_000_000, 64
+#: Rows and characters of one step.
+STEP_ROWS, STEP_TEXT = 256, 4_000_000
+
 
+class Known:
+    """Ids and decoded forms of the words met so far, bounded in characters.
+
+    Entries lie one after the other in flat arrays; the last one, -1, is the end id.
+    """
 
-#: Words that a worker remembers; beyond, it forgets all and starts anew.
-REMEMBERED = 250_000
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.surface: list[str] = []
+        self.ids, self.size, self.start = (np.zeros(0, dtype=t) for t in (np.int32, np.int64, np.int64))
+        self.chars, self.long = 0, False
+
+    def add(self, words: list[str], ids: list[np.ndarray], surfaces: list[str], end: np.ndarray) -> None:
+        for w in words:
+            self.index[w] = len(self.index)
+        self.surface += surfaces
+        self.ids = np.concatenate([self.ids[: -1 if len(self.ids) else None], *ids, end])
+        self.size = np.concatenate([self.size[:-1], np.array([len(i) for i in ids], dtype=np.int64), [1]])
+        self.start = np.cumsum(self.size) - self.size
+        sizes = [len(w) for w in words]
+        self.chars += sum(sizes)
+        self.long = max(sizes, default=0) > LONGEST or self.long
+
+    def forget_long(self) -> None:
+        """Forget words over LONGEST characters, and everything beyond REMEMBERED characters."""
+        if self.chars > REMEMBERED:
+            self.clear()
+        elif self.long:
+            keep = [w for w in self.index if len(w) <= LONGEST]
+            rows = np.array([self.index[w] for w in keep] + [len(self.index)], dtype=np.int64)
+            size = self.size[rows]
+            begin = np.cumsum(size) - size
+            self.ids = self.ids[np.repeat(self.start[rows] - begin, size) + np.arange(size.sum())]
+            self.surface = [self.surface[i] for i in rows[:-1]]
+            self.index = {w: i for i, w in enumerate(keep)}
+            self.size, self.start = size, begin
+            self.chars, self.long = sum(map(len, keep)), False
 
 
 def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
@@ -323,16 +417,17 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
     place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_file)
-        known: dict[str, tuple[np.ndarray, str]] = {}
+        model, known = PieceModel(model_file), Known()
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                ids, decoded = model.encode_texts([t.as_py() or "" for t in batch.column(place)], known)
-                if len(known) > REMEMBERED:
-                    known.clear()
-                offsets = np.cumsum([0, *map(len, ids)], dtype=np.int64).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, listed, pa.array(decoded, pa.string())], [*names, "piece_ids", "decoded"])
+            texts = [t or "" for t in whole.column(place).to_pylist()]
+            sizes = np.cumsum([len(t) for t in texts])
+            at = 0
+            while at < len(texts):
+                seen = int(sizes[at - 1]) if at else 0
+                to = min(at + STEP_ROWS, max(at + 1, int(np.searchsorted(sizes, seen + STEP_TEXT))))
+                ids, size, decoded = model.encode_texts(texts[at:to], known)
+                listed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*whole.slice(at, to - at).columns, listed, pa.array(decoded, pa.string())], [*names, "piece_ids", "decoded"])
+                at = to
 
     return docs.select(*names).mapInArrow(run, shape)

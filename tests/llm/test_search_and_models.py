@@ -1,5 +1,6 @@
 """Searches, fingerprints, pieces, classifiers and the pipeline."""
 
+import functools
 import importlib
 import random
 import zlib
@@ -213,6 +214,14 @@ def test_near_copies_leave_one(spark):
 MODEL = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
 
 
+@functools.cache
+def model():
+    from folioquery.llm.pieces import PieceModel
+
+    return PieceModel(MODEL)
+
+
+@functools.cache
 def library():
     import sentencepiece
 
@@ -222,9 +231,7 @@ def library():
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from("ab eirstn.,!▁\n\té日0"), st.characters(exclude_categories=["Cs"])), max_size=60))
 def test_pieces_match_the_library(text):
-    from folioquery.llm.pieces import load
-
-    ours, theirs = load(MODEL), library()
+    ours, theirs = model(), library()
     ids = theirs.encode(text)
     assert ours.encode(text) == ids
     assert ours.decode(ids) == theirs.decode(ids)
@@ -233,15 +240,31 @@ def test_pieces_match_the_library(text):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 31_999)), max_size=12))
 def test_any_ids_decode_as_in_the_library(ids):
-    from folioquery.llm.pieces import load
+    assert model().decode(ids) == library().decode(ids)
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 16, 48])
+def test_long_words_are_merged_in_chunks(monkeypatch, chunk):
+    from folioquery.llm import pieces
 
-    assert load(MODEL).decode(ids) == library().decode(ids)
+    monkeypatch.setattr(pieces, "CHUNK", chunk)
+    monkeypatch.setattr(pieces, "REMEMBERED", 3000)
+    rng = random.Random(chunk)
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "aab -", "-", "etaoin ", "日本語中国人的", "▁ a", "ABCxyz0189+/", "the and ing tion"]
+    known, theirs = pieces.Known(), library()
+    for _ in range(60):
+        texts = ["".join(rng.choice(rng.choice(kinds)) for _ in range(rng.choice([1, 15, 47, 49, 300, 900]))) for _ in range(2)]
+        texts += ["", (rng.choice(["re", "-", "aba", "anan", "--=", "  ", "日", "th"]) * 400)[: rng.randrange(400)]]
+        ids, size, decoded = model().encode_texts(texts, known)
+        for text, own, back in zip(texts, np.split(ids, np.cumsum(size)[:-1]), decoded, strict=True):
+            assert own.tolist() == theirs.encode(text, add_eos=True) and back == theirs.decode(own.tolist())
+        assert known.chars <= 3000 and all(len(w) <= pieces.LONGEST for w in known.index)
 
 
 def test_documents_are_encoded_whole(spark):
     from folioquery.llm.pieces import encode_documents
 
-    texts = [None, "", " ", "plain words here", "x" * 3000, "re" * 2000 + " end", "long text " * 20_000, "日本 ▁ \x00 😀", "a" * 255 + " " + "b" * 257]
+    texts = [None, "", " ", "plain words here", "x" * 3000, "re" * 2000 + " end", "long text " * 20_000, "日本 ▁ \x00 😀", "a" * 255 + " " + "b" * 257, "qwertyuiopasdfgh" * 20_000, "-" * 100_001]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("piece_ids", F.lit("mine"))
     theirs = library()
     for r in encode_documents(df, MODEL).collect():
