@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 from folioquery.llm.cluster import materialise
 from folioquery.llm.components import components
 
-LEAF, FANOUT = 16, 8
-#: Codes of one search step; a bucket with more is searched in blocks of this many, pair by pair of blocks.
-BLOCK = 4096
-#: (query, node) pairs that are held at once.
-FRONTIER = 1_000_000
-#: The 4 blocks of 16 bits of a fingerprint, of which codes at 2 differing bits agree on two.
-BLOCK_PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+#: Nodes below a node of the index.
+FANOUT = 4
+#: (node, node) pairs that are held at once.
+FRONTIER = 500_000
+#: Codes of a range of the Gray order that one task indexes, and the most ranges there are; beyond, ranges grow.
+BLOCK, BLOCKS = 2048, 4096
 
 # bits[b] holds the eight bits of the byte b, highest first
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -62,82 +61,72 @@ def signed(x: int) -> int:
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
-    """Positions of codes (rows of 64-bit words, first word highest) in Gray order, as rows of the same shape."""
+    """Positions of codes (unsigned 64-bit) in Gray order."""
     rank = codes.copy()
     for s in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(s)
-    for k in range(1, rank.shape[1]):  # an odd number of ones before a word turns it around
-        rank[:, k] ^= np.where(rank[:, k - 1] & np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
     return rank
 
 
 class GrayIndex:
     """Hierarchical index of codes in Gray order, where neighbours share most bits.
 
-    Runs of codes form leaves and runs of nodes form upper nodes. A node holds the bits
-    that all codes below it have in common: a mask and their values. A
-    search carries, for each query and node, the differences found so far; a node adds those in
-    the bits that it fixes and its parent doesn't, and is dropped with
-    all codes below it once the sum is over the limit.
+    Runs of codes form nodes and runs of nodes form upper nodes. A node holds the bits
+    that all codes below it have in common: a mask and their values. The entries
+    can themselves be sets of codes, given by the bits set in all (``low``) and in any (``high``) of them.
     """
 
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.order = np.lexsort(gray_rank(codes).T[::-1]) if len(codes) else np.zeros(0, dtype=np.int64)
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        if not len(codes):
-            return
-        low = high = codes[self.order]
-        size = LEAF
-        while True:
-            starts = np.arange(0, len(low), size)
-            low = np.bitwise_and.reduceat(low, starts, axis=0)
-            high = np.bitwise_or.reduceat(high, starts, axis=0)
+    def __init__(self, low: np.ndarray, high: np.ndarray | None = None):
+        self.order = np.argsort(gray_rank(low), kind="stable")
+        low = low[self.order]
+        high = low if high is None else high[self.order]
+        self.levels = [(~(low ^ high), low)]
+        while len(low) > FANOUT:
+            starts = np.arange(0, len(low), FANOUT)
+            low, high = np.bitwise_and.reduceat(low, starts), np.bitwise_or.reduceat(high, starts)
             self.levels.append((~(low ^ high), low))
-            size = FANOUT
-            if len(low) <= FANOUT:
-                return
-
-    def search(self, queries: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions of queries and of codes that differ in at most ``limit`` bits."""
-        if not self.levels:
-            return
-        step = max(1, FRONTIER // max(1, len(self.levels[-1][0])) // FANOUT)
-        for at in range(0, len(queries), step):
-            q = queries[at : at + step]
-            for i, j in self._descend(q, limit):
-                yield i + at, j
-
-    def _descend(self, queries: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        top = len(self.levels) - 1
-        n = len(self.levels[top][0])
-        q = np.repeat(np.arange(len(queries)), n)
-        node = np.tile(np.arange(n), len(queries))
-        stack = [(top, q, node, np.zeros(len(q), dtype=np.int64), None)]
-        while stack:
-            level, q, node, sofar, parent = stack.pop()
-            mask, value = (x[node] for x in self.levels[level])
-            fresh = mask if parent is None else mask & ~self.levels[level + 1][0][parent]
-            sofar = sofar + np.bitwise_count((queries[q] ^ value) & fresh).sum(axis=1)
-            live = sofar <= limit
-            q, node, sofar = q[live], node[live], sofar[live]
-            if not len(q):
-                continue
-            fan, below = (FANOUT, len(self.levels[level - 1][0])) if level else (LEAF, len(self.codes))
-            for part in range(0, len(q), FRONTIER // fan):
-                cut = slice(part, part + FRONTIER // fan)
-                child = (node[cut, None] * fan + np.arange(fan)).ravel()
-                inside = child < below
-                child = child[inside]
-                cq, cs, cp = (np.repeat(x[cut], fan)[inside] for x in (q, sofar, node))
-                if level:
-                    stack.append((level - 1, cq, child, cs, cp))
-                    continue
-                at = self.order[child]
-                total = cs + np.bitwise_count((queries[cq] ^ self.codes[at]) & ~self.levels[0][0][cp]).sum(axis=1)
-                hit = total <= limit
-                if hit.any():
-                    yield cq[hit], at[hit]
+
+    def _below(self, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Children of nodes, and which node of the list each belongs to."""
+        child = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+        inside = child < len(self.levels[level - 1][0])
+        return child[inside], np.repeat(np.arange(len(node)), FANOUT)[inside]
+
+
+def near(a: GrayIndex, b: GrayIndex, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of entries of ``a`` and of ``b`` that differ in at most ``limit`` of the bits that both fix.
+
+    Both trees are descended together. A pair of nodes carries the differences found so far; its
+    children add those in the bits that they fix and it didn't, and a pair over the limit is
+    dropped with everything below both.
+    """
+    top = len(a.levels) - 1, len(b.levels) - 1
+    i, j = (x.ravel() for x in np.indices((len(a.levels[-1][0]), len(b.levels[-1][0]))))
+    stack = [(*top, i, j, np.zeros(len(i), dtype=np.uint8), np.zeros(len(i), dtype=np.uint64))]
+    while stack:
+        u, v, i, j, sofar, seen = stack.pop()
+        if len(i) > FRONTIER:
+            for cut in np.array_split(np.arange(len(i)), -(-len(i) // FRONTIER)):
+                stack.append((u, v, i[cut], j[cut], sofar[cut], seen[cut]))
+            continue
+        (mask_a, value_a), (mask_b, value_b) = a.levels[u], b.levels[v]
+        fresh = mask_a[i] & mask_b[j] & ~seen
+        sofar = sofar + np.bitwise_count((value_a[i] ^ value_b[j]) & fresh)
+        live = np.flatnonzero(sofar <= limit)
+        if not len(live):
+            continue
+        i, j, sofar, seen = i[live], j[live], sofar[live], (seen | fresh)[live]
+        if u == v == 0:
+            yield a.order[i], b.order[j]
+            continue
+        down_a, down_b = u >= v, v >= u  # the higher tree first, then both
+        if down_a:
+            i, own = a._below(u, i)
+            j, sofar, seen = j[own], sofar[own], seen[own]
+        if down_b:
+            j, own = b._below(v, j)
+            i, sofar, seen = i[own], sofar[own], seen[own]
+        stack.append((u - down_a, v - down_b, i, j, sofar, seen))
 
 
 def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -172,94 +161,94 @@ def tree_edges(ids: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ids[order[child]], ids[order[parent]]
 
 
-def near_links(keyed: DataFrame, n_words: int, limit: int) -> DataFrame:
-    """Edges (``a``, ``b``) that connect all codes of a bucket within ``limit`` bits of each other, directly or by steps.
+def _rank(code: Column) -> Column:
+    """Gray rank as a signed number in the same order."""
+    rank = code
+    for s in (1, 2, 4, 8, 16, 32):
+        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, s))
+    return rank.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def code_links(codes: DataFrame, limit: int) -> DataFrame:
+    """Edges (``a``, ``b``) that connect all codes within ``limit`` bits of each other, directly or by steps.
 
-    ``keyed`` has ``band`` int, ``key`` long, ``id`` long and ``c0``, ``c1``... (the words of the code);
-    ids are unique within a bucket (band, key). Every task sorts whole buckets in
-    Gray order, builds the index and keeps a spanning tree of what it finds, so
-    it returns fewer rows than it reads however dense a bucket is. A bucket over
-    BLOCK codes is dealt in blocks: every pair of blocks is a task's unit, none is left out.
+    ``codes`` has distinct signed 64-bit ``code``s, in a written table. One Gray-order index holds them all: the order is cut into
+    at most BLOCKS ranges, whose shared bits (one row each) are the upper nodes that every
+    task knows; each range's own nodes are built by the task that gets it. A code is sent to the ranges that
+    its differences from their shared bits don't rule out; of two ranges one asks the other.
+    A task holds the codes of one range; those that ask stream past, so memory depends on neither their number nor on links.
     """
-    words = [f"c{i}" for i in range(n_words)]
-    large = materialise(
-        keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("band", "key", F.ceil(F.col("n") * 2 / BLOCK).cast("int").alias("cuts")),
-        "large-buckets",
-    )
-    if large.isEmpty():
-        dealt = keyed.select("band", "key", F.lit(0).alias("u"), F.lit(0).alias("v"), "id", *words)
-    else:
-        own = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
-        cut = keyed.join(large, ["band", "key"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1))).withColumn("own", own)
-        other = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-        dealt = other.select("band", "key", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "id", *words)
+    n = codes.count()
+    n_blocks = max(1, min(BLOCKS, -(-n // BLOCK)))
+    cuts = [k / n_blocks for k in range(1, n_blocks)]
+    bounds = np.zeros(0, dtype=np.uint64)
+    if cuts:
+        got = codes.agg(F.percentile_approx(_rank(F.col("code")), cuts, 20 * n_blocks)).first()[0]
+        bounds = np.unique(np.array(got, dtype=np.int64)).view(np.uint64) ^ np.uint64(1 << 63)
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.searchsorted(bounds, gray_rank(batch.column(0).to_numpy().view(np.uint64)), side="right")
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), batch.column(0)], ["block", "code"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, ids, codes in _runs(batches, n_words):
-            a, b = _search(bucket, ids, codes, limit)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    blocked = codes.select("code").mapInArrow(block, "block int, code long")
+    nodes = blocked.groupBy("block").agg(F.bit_and("code").alias("low"), F.bit_or("code").alias("high")).orderBy("block").collect()
+    number, low, high = (np.array([r[c] for r in nodes], dtype=np.int64) for c in ("block", "low", "high"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upper = GrayIndex(low.view(np.uint64), high.view(np.uint64))
+        for batch in batches:
+            own, code = (batch.column(k).to_numpy() for k in (0, 1))
+            if not len(own):
+                continue
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.zeros(len(own), dtype=bool)), batch.column(1)], ["block", "asks", "code"])
+            for i, j in near(GrayIndex(code.view(np.uint64)), upper, limit):
+                to, at = number[j], own[i]
+                asks = np.where((to + at) % 2 == 0, to < at, to > at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(to[asks].astype(np.int32)), pa.array(np.ones(int(asks.sum()), dtype=bool)), pa.array(code[i[asks]])], ["block", "asks", "code"]
+                )
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, index, label = None, [], None, None
+
+        def built() -> tuple[GrayIndex, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """The range's index, the tree of its own links, and its codes."""
+            codes = np.concatenate(held)
+            index = GrayIndex(codes.view(np.uint64))
+            label = forest(len(codes), ((i[i < j], j[i < j]) for i, j in near(index, index, limit)))
+            return index, label, codes, *tree_edges(codes, label)
+
+        def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            own, asks, code = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            new = np.flatnonzero((own[1:] != own[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for at, to in zip([0, *new], [*new, len(own)], strict=True):
+                if at == to:
+                    continue
+                if own[at] != now:
+                    if held and index is None:
+                        yield edges(*built()[3:])
+                    now, held, index = own[at], [], None
+                if not asks[at]:
+                    held.append(code[at:to])
+                    continue
+                if index is None:
+                    index, label, codes, *tree = built()
+                    yield edges(*tree)
+                query = code[at:to]
+                for i, j in near(GrayIndex(query.view(np.uint64)), index, limit):
+                    # one edge to each set of the range that is linked in itself
+                    _, first = np.unique(i * len(codes) + label[j], return_index=True)
+                    yield edges(query[i[first]], codes[label[j[first]]])
+        if held and index is None:
+            yield edges(*built()[3:])
 
     # Sorted to the last column, so that a task that runs again finds the same trees.
-    return dealt.repartition("band", "key", "u", "v").sortWithinPartitions("band", "key", "u", "v", "id").mapInArrow(run, "a long, b long")
-
-
-def _runs(batches: Iterator[pa.RecordBatch], n_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Bucket numbers, ids and codes of whole buckets, about BLOCK rows at a time. Rows come sorted by bucket."""
-    rest: list[np.ndarray] | None = None
-    for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5 + n_words)]
-        if rest is not None:
-            cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
-        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)) + 1
-        at = 0
-        while len(new) and new[-1] - at > 0 and len(cols[0]) - at > BLOCK:
-            stop = new[np.searchsorted(new, at + BLOCK).clip(max=len(new) - 1)]
-            if stop <= at:
-                break
-            yield _run([c[at:stop] for c in cols])
-            at = stop
-        rest = [c[at:] for c in cols]
-    if rest is not None and len(rest[0]):
-        yield _run(rest)
-
-
-def _run(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    bucket = np.cumsum(np.r_[0, np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)])
-    return bucket, cols[4], np.stack([c.astype(np.int64).view(np.uint64) for c in cols[5:]], axis=1)
-
-
-def _search(bucket: np.ndarray, ids: np.ndarray, codes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tree edges of the links in a run of buckets. Codes alone in their bucket have no link there."""
-    size = np.bincount(bucket)
-    keep = size[bucket] > 1
-    bucket, ids, codes = bucket[keep], ids[keep], codes[keep]
-    if not len(ids):
-        return ids, ids
-    label = forest(len(ids), _pairs(bucket, codes, limit))
-    return tree_edges(ids, label)
-
-
-def bit_limit(similarity: float, bits: int = 384) -> int:
-    """Differing bits within which a pair at the given Jaccard similarity of shingles falls (two standard deviations included)."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * share + 2 * np.sqrt(bits * share * (1 - share)))
-
-
-def _pairs(bucket: np.ndarray, codes: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links within buckets. A bucket no larger than a leaf is one leaf, compared for all such buckets at once; a larger one gets an index."""
-    start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    size = np.diff(np.r_[start, len(bucket)])
-    leaf = np.repeat(size <= LEAF, size)
-    for step in range(1, min(LEAF, int(size.max()))):
-        i = np.flatnonzero(leaf[:-step] & (bucket[step:] == bucket[:-step]))
-        near = np.bitwise_count(codes[i] ^ codes[i + step]).sum(axis=1) <= limit
-        yield i[near], i[near] + step
-    for at, n in zip(start[size > LEAF], size[size > LEAF], strict=True):
-        own = codes[at : at + n]
-        for i, j in GrayIndex(own).search(own, limit):
-            keep = i < j
-            yield i[keep] + at, j[keep] + at
+    dealt = blocked.mapInArrow(deal, "block int, asks boolean, code long")
+    return dealt.repartition("block").sortWithinPartitions("block", "asks", "code").mapInArrow(search, "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -309,20 +298,11 @@ def fingerprints(docs: DataFrame, *, width: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, code long")
 
 
-def _block_keys(code: Column) -> Column:
-    """The six buckets of a fingerprint: pairs of its 16-bit blocks."""
-    block = lambda i: F.shiftrightunsigned(code, 48 - 16 * i).bitwiseAND(F.lit(0xFFFF))
-    pairs = [F.struct(F.lit(k).alias("band"), (F.shiftleft(block(i), 16) + block(j)).alias("key")) for k, (i, j) in enumerate(BLOCK_PAIRS)]
-    return F.explode(F.array(*pairs))
-
-
 def simhash_groups(docs: DataFrame, *, width: int = 3) -> DataFrame:
     """Group documents whose fingerprints differ in at most 2 bits, directly or by steps.
 
-    Equal fingerprints are one code. Of two codes within 2 bits, two of the four 16-bit
-    blocks are equal, so each code goes into six buckets of 32 equal bits; the
-    Gray-order index finds the links of a bucket, and components are formed from
-    spanning trees.
+    Equal fingerprints are one code. One Gray-order index over all codes finds the links
+    (see ``code_links``), and components are formed from spanning trees.
 
     Returns ``doc_id``, ``fingerprint`` (16 lowercase hex digits) and ``component_id``, the smallest ``doc_id`` reachable.
 
@@ -333,9 +313,7 @@ def simhash_groups(docs: DataFrame, *, width: int = 3) -> DataFrame:
     """
     prints = materialise(fingerprints(docs, width=width), "fingerprints")
     codes = materialise(prints.groupBy("code").agg(F.min("doc_id").alias("first")), "codes")
-    keyed = codes.select(_block_keys(F.col("code")).alias("k"), F.col("code").alias("id"), F.col("code").alias("c0"))
-    links = near_links(keyed.select("k.band", "k.key", "id", "c0"), 1, 2)
-    found = components(links)
+    found = components(code_links(codes, 2))
     owned = codes.join(found, codes["code"] == found["node"], "left").select("code", "first", F.coalesce("component", "code").alias("component"))
     owned = materialise(owned, "code-components")
     least = materialise(owned.groupBy("component").agg(F.min("first").alias("component_id")), "component-ids")

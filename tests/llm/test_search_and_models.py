@@ -17,7 +17,7 @@ from folioquery.llm.components import components
 from folioquery.llm.hilbert import hilbert_keys, nearest
 from folioquery.llm.maxscore import Shard, top_k
 from folioquery.llm.quality import difference, fit_quality, score_quality
-from folioquery.llm.simhash import GrayIndex, bit_limit, drop_near_duplicates, gray_rank, simhash_groups, tree_edges
+from folioquery.llm.simhash import GrayIndex, drop_near_duplicates, gray_rank, near, simhash_groups, tree_edges
 from folioquery.llm.toxicity import fit_toxicity, score_toxicity
 
 VECTORS = "vec_id long, embedding array<float>"
@@ -140,7 +140,10 @@ def test_simhash_groups_match_brute_force(spark):
             for _ in range(c):
                 text[rng.randrange(120)] = rng.choice(words)
             rows.append((len(rows) + 1, " ".join(text)))
-    rows += [(900, None), (901, ""), (902, " \t\n"), (903, "One"), (904, "one"), (905, "a b"), (906, "É b c"), (907, "é b c")]
+    rows += [(900, None), (901, ""), (902, " \t\n"), (903, "One"), (904, "one"), (905, "a b"), (906, "É b c"), (907, "é b c"), (908, "very long " * 40_000)]
+    more = simhash_groups(spark.createDataFrame([*rows, (5, "another text"), (None, "One"), (None, "alone")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in more if r.fingerprint == f"{fingerprint('One'):016x}" and r.doc_id) == [(903, 903), (904, 903)]
+    assert {(r.doc_id, r.component_id) for r in more if r.doc_id is None} == {(None, 903), (None, None)} and len(more) == len(rows) + 3
     got = simhash_groups(spark.createDataFrame(rows, "doc_id long, text string").withColumn("code", F.lit(1))).collect()
     prints = {i: fingerprint(t) for i, t in rows}
     assert {r.doc_id: r.fingerprint for r in got} == {i: f"{p:016x}" for i, p in prints.items()}
@@ -148,36 +151,43 @@ def test_simhash_groups_match_brute_force(spark):
     assert simhash_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_large_buckets_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("block", [16, 100, 2048])
+def test_index_over_many_ranges_loses_no_link(spark, monkeypatch, block):
     from folioquery.llm import simhash
 
-    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = random.Random(1)
-    codes = {rng.getrandbits(31) for _ in range(6)}
-    for c in list(codes):
+    codes = {rng.getrandbits(64) for _ in range(300)} | {0, (1 << 64) - 1, 1 << 63}
+    for c in list(codes)[:12]:
         for _ in range(60):
-            for b in rng.sample(range(31), rng.randrange(1, 4)):
+            for b in rng.sample(range(64), rng.randrange(1, 4)):
                 c ^= 1 << b
             codes.add(c)
-    rows = [(0, 7, c, c) for c in codes]
-    edges = simhash.near_links(spark.createDataFrame(rows, "band int, key long, id long, c0 long"), 1, 2)
-    found = {r.node: r.component for r in components(edges).collect()}
-    want = brute_groups({c: c for c in codes})
-    assert {c: found.get(c, c) for c in codes} == want
+    signed = {c: simhash.signed(c) for c in codes}
+    edges = simhash.code_links(spark.createDataFrame([(c,) for c in signed.values()], "code long"), 2).collect()
+    assert len(edges) < 8 * len(codes)
+    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    group = lambda of: {frozenset(c for c in codes if of[c] == g) for g in set(of.values())}
+    assert group({c: found.get(s, s) for c, s in signed.items()}) == group(brute_groups({c: c for c in codes}))
 
 
 def test_gray_index_equals_brute_force():
     rng = np.random.default_rng(2)
-    for n, w, limit in ((1, 1, 2), (500, 1, 3), (300, 3, 40), (40, 2, 128)):
-        codes = rng.integers(0, 2**63, (max(1, n // 8), w)).astype(np.uint64)[rng.integers(0, max(1, n // 8), n)]
-        for _ in range(4 * w):
-            b = rng.integers(0, 64 * w, n)
-            codes[np.arange(n), b // 64] ^= np.uint64(1) << (b % 64).astype(np.uint64)
-        got = {(int(i), int(j)) for a, b in GrayIndex(codes).search(codes, limit) for i, j in zip(a, b, strict=True)}
-        differ = np.bitwise_count(codes[:, None] ^ codes[None]).sum(axis=2)
-        assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(differ <= limit), strict=True)}
+    for n, m, limit in ((1, 1, 2), (1, 500, 2), (500, 300, 3), (300, 300, 0), (64, 900, 12)):
+        base = rng.integers(0, 2**64, max(1, n // 8), dtype=np.uint64)
+        a, b = (base[rng.integers(0, len(base), k)] for k in (n, m))
+        for _ in range(4):
+            b = b ^ (np.uint64(1) << rng.integers(0, 64, m).astype(np.uint64))
+        got = [(int(i), int(j)) for x, y in near(GrayIndex(a), GrayIndex(b), limit) for i, j in zip(x, y, strict=True)]
+        want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.bitwise_count(a[:, None] ^ b[None]) <= limit), strict=True)}
+        assert set(got) == want and len(got) == len(want)
+    # entries that are sets of codes: a pair stays as long as the bits that both fix allow it
+    codes = np.sort(rng.integers(0, 2**16, 400, dtype=np.uint64))
+    low, high = np.bitwise_and.reduceat(codes, range(0, 400, 20)), np.bitwise_or.reduceat(codes, range(0, 400, 20))
+    got = {(int(i), int(j)) for x, y in near(GrayIndex(codes), GrayIndex(low, high), 2) for i, j in zip(x, y, strict=True)}
+    assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(np.bitwise_count((codes[:, None] ^ low) & ~(low ^ high)) <= 2), strict=True)}
     n = np.arange(64, dtype=np.uint64)
-    assert (gray_rank((n ^ n >> np.uint64(1))[:, None]).ravel() == n).all()
+    assert (gray_rank(n ^ n >> np.uint64(1)) == n).all()
     a, b = tree_edges(np.arange(100), np.zeros(100, dtype=np.int64))
     assert max(np.bincount(np.concatenate([a, b]))) <= 3 and len(a) == 99
 
@@ -208,7 +218,6 @@ def test_near_copies_leave_one(spark):
         assert [i for i in out if i in members] == members[:1]
     assert sorted(i for i in out if i is not None and 1000 <= i < 2000) == list(range(1000, 1040))
     assert sorted(i for i in out if i is not None and i >= 2000) == [2000, 2002, 2003] and None not in out
-    assert 50 < bit_limit(0.8) < 90
 
 
 MODEL = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
