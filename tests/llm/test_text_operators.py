@@ -1,15 +1,15 @@
 """Line dedup, chat formatting, mixing, sharding."""
 
-import hashlib
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
 from pyspark.sql import functions as F
 
 from folioquery.llm.chat import format_chats
 from folioquery.llm.line_dedup import drop_repeated_lines
 from folioquery.llm.mixing import mix_sources, plan_mix, source_domain
-from folioquery.llm.sharding import pack, pack_shards
+from folioquery.llm.sharding import pack_shards
 
 DOCS = "doc_id long, text string"
 LONG = "A shared line that is long enough to count, forty and more"
@@ -174,11 +174,55 @@ def test_shards_keep_groups_that_fit(spark):
     assert pack_shards(spark.createDataFrame([], DOCS), 8).count() == 0
 
 
-def test_pack_prefers_the_fitting_bin():
-    where = pack([(10, 1, 1), (1, 10, 1), (10, 1, 1), (1, 10, 1)], 2)
-    load = [[0, 0], [0, 0]]
-    for (b, t), w in zip([(10, 1), (1, 10), (10, 1), (1, 10)], where, strict=True):
-        load[w][0] += b
-        load[w][1] += t
-    assert load[0] == load[1]
-    assert hashlib.md5(bytes(where.tolist())).hexdigest() == hashlib.md5(bytes(pack([(10, 1, 1), (1, 10, 1), (10, 1, 1), (1, 10, 1)], 2).tolist())).hexdigest()
+def brute_shards(rows, n):
+    """The rule in plain Python: whole groups by their greatest share, each to the highest dot product with the residual."""
+    groups = defaultdict(lambda: [0, 0, 0])
+    for _, t in rows:
+        g = groups[t or ""]
+        g[0] += len((t or "").encode()) + 1
+        g[1] += len((t or "").split())
+        g[2] += 1
+    total = [max(sum(g[k] for g in groups.values()), 1) for k in range(3)]
+    left = [[1 / n] * 3 for _ in range(n)]
+    where = {}
+    tie = {t: (xxhash.xxh64_intdigest(t.encode(), 42) + 2**63) % 2**64 for t in groups}
+    for t, g in sorted(groups.items(), key=lambda x: (-max(v / s for v, s in zip(x[1], total, strict=True)), tie[x[0]])):
+        unit = [v / s for v, s in zip(g, total, strict=True)]
+        score = [sum(a * b for a, b in zip(x, unit, strict=True)) for x in left]
+        top = max(score)
+        best = max((s for s in range(n) if score[s] >= top - 1e-12 * max(map(abs, score))), key=lambda s: (left[s][0], -s))
+        where[t] = best
+        left[best] = [a - b for a, b in zip(left[best], unit, strict=True)]
+    return where
+
+
+def test_groups_are_placed_as_by_brute_force(spark):
+    # No group is large enough to be cut; equal shares go by the hash of the text.
+    rows, texts = [], []
+    for k in range(400):
+        texts.append(f"{'w ' * (k % 17)}{'x' * (200 + 7 * k)}")
+        rows += [(len(rows) + c, texts[-1]) for c in range(1 + k % 3)]
+    want = brute_shards(rows, 5)
+    got = {}
+    for r in pack_shards(spark.createDataFrame(rows, DOCS), 5).collect():
+        got.setdefault(rows[r.doc_id][1], set()).add(r.shard)
+    assert got == {t: {s} for t, s in want.items()}
+
+
+def test_many_tasks_and_hot_groups_stay_balanced(spark, monkeypatch):
+    from folioquery.llm import sharding
+
+    monkeypatch.setattr(sharding, "PACKED", 200)
+    rows = [(i, f"text {i} " * (1 + i % 40)) for i in range(6000)]
+    rows += [(10_000 + i, "a hot text that many rows repeat " * 20) for i in range(4000)] + [(20_000 + i, "short") for i in range(3000)]
+    out = pack_shards(spark.createDataFrame(rows, DOCS), 8).collect()
+    for total in (Counter(r.shard for r in out), sum((Counter({r.shard: r.size}) for r in out), Counter()), sum((Counter({r.shard: r.n_tokens}) for r in out), Counter())):
+        assert max(total.values()) - min(total.values()) <= 0.02 * sum(total.values()) / 8
+    of = defaultdict(set)
+    for r in out:
+        of[r.text_crc32].add(r.shard)
+    assert sum(len(s) > 1 for s in of.values()) <= 2
+    slots = defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+    assert len(out) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
