@@ -108,13 +108,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, *, scale: int = 256,
     )
     size = clean.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
     shards, dim = max(1, -(-size["n"] // min(LARGEST, max(SHARD, size["n"] // SHARDS)))), size["dim"] or 0
-    rows = clean.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("is_query"), "vec_id", "v")
-    asked = clean.where("asks").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"), "vec_id", "v")
+    rows = clean.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("is_query"), "vec_id", "v", F.lit(0).alias("at"))
+    asked = clean.where("asks").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"), "vec_id", "v", F.lit(0).alias("at"))
 
-    def searcher(ids: np.ndarray, v: np.ndarray):
+    def searcher(ids: np.ndarray, v: np.ndarray, _: np.ndarray):
         shard = Shard(ids, np.floor(scale * v))
 
-        def search(query_ids: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def search(query_ids: np.ndarray, q: np.ndarray, _: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for i, one in zip(query_ids, np.floor(scale * q), strict=True):
                 yield shard.best(i, one, k)
 

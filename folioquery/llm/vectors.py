@@ -33,16 +33,14 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 #: A partial result: the best ids of one block for a query, best first.
 PARTIAL = "query_id long, ids array<long>, scores array<{}>"
 
-Best = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]
 
-
-def by_block(rows: DataFrame, keys: list[str], dim: int, searcher: Callable[[np.ndarray, np.ndarray], Callable], score: str) -> DataFrame:
-    """Search every block. ``rows`` has the block's ``keys``, ``is_query``, ``vec_id`` and ``v``.
+def by_block(rows: DataFrame, keys: list[str], dim: int, searcher: Callable[[np.ndarray, np.ndarray, np.ndarray], Callable], score: str) -> DataFrame:
+    """Search every block. ``rows`` has the block's ``keys``, ``is_query``, ``vec_id``, ``v`` and ``at`` (a place that the search may use).
 
     A block's candidates come first and are held; its queries then stream past in
     batches, so memory depends on neither the number of queries nor of blocks.
-    ``searcher(ids, vectors)`` prepares a block and returns a function from
-    (query ids, query vectors) to one (ids, scores) for each query.
+    ``searcher(ids, vectors, places)`` prepares a block and returns a function from
+    (query ids, query vectors, places) to one (ids, scores) for each query.
     """
     n = len(keys)
     kind = pa.float64() if score == "double" else pa.int64()
@@ -51,27 +49,29 @@ def by_block(rows: DataFrame, keys: list[str], dim: int, searcher: Callable[[np.
         key: tuple | None = None
         ids: list[np.ndarray] = []
         vectors: list[np.ndarray] = []
+        places: list[np.ndarray] = []
         search = None
         for batch in batches:
             head = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(n + 2)]
-            v = matrix(batch.column(n + 2), dim)
+            v, at = matrix(batch.column(n + 2), dim), batch.column(n + 3).to_numpy()
             new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in head[: n + 1]], axis=0)) + 1
             for a, b in zip([0, *new], [*new, len(v)], strict=True):
                 if a == b:
                     continue
                 now = tuple(c[a] for c in head[:n])
                 if now != key:
-                    key, ids, vectors, search = now, [], [], None
+                    key, ids, vectors, places, search = now, [], [], [], None
                 if not head[n][a]:
                     ids.append(head[n + 1][a:b])
                     vectors.append(v[a:b])
+                    places.append(at[a:b])
                     continue
                 if not ids:
                     continue
                 if search is None:
-                    search = searcher(np.concatenate(ids), np.concatenate(vectors))
+                    search = searcher(np.concatenate(ids), np.concatenate(vectors), np.concatenate(places))
                 query = head[n + 1][a:b]
-                found = list(search(query, v[a:b]))
+                found = list(search(query, v[a:b], at[a:b]))
                 offsets = pa.array(np.cumsum([0, *(len(f[0]) for f in found)]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -83,7 +83,7 @@ def by_block(rows: DataFrame, keys: list[str], dim: int, searcher: Callable[[np.
                 )
 
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "is_query")
-    return dealt.select(*keys, "is_query", "vec_id", "v").mapInArrow(run, PARTIAL.format(score))
+    return dealt.select(*keys, "is_query", "vec_id", "v", "at").mapInArrow(run, PARTIAL.format(score))
 
 
 def merge_best(partial: DataFrame, k: int, score: str) -> DataFrame:

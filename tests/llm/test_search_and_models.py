@@ -105,6 +105,36 @@ def test_nearest_recall(spark):
     assert len(few) == 2 and nearest(spark.createDataFrame([], VECTORS), F.lit(True)).count() == 0
 
 
+def test_narrow_windows_find_clustered_vectors(spark, monkeypatch):
+    from folioquery.llm import hilbert
+
+    fitted = []
+    fit = hilbert.fit_windows
+    monkeypatch.setattr(hilbert, "fit_windows", lambda *a: fitted.append(fit(*a)) or fitted[-1])
+    rng = np.random.default_rng(6)
+    n = 12_000
+    v = rng.normal(size=(60, 24))[rng.integers(0, 60, n)] + 0.2 * rng.normal(size=(n, 24))
+    v = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], VECTORS)
+    found = defaultdict(set)
+    for r in nearest(df, F.col("vec_id") % 60 == 0, 20).collect():
+        found[r.query_id].add(r.vec_id)
+    v = v.astype(np.float64)
+    hit = 0
+    for q, own in found.items():
+        s = v @ v[q]
+        s[q] = -np.inf
+        hit += len(own & set(np.lexsort((np.arange(n), -s))[:20].tolist()))
+    assert len(found) == n // 60 and hit / (20 * len(found)) >= 0.9
+    assert fitted[0].share(n) < 0.2
+
+
+def test_nearest_takes_repeats_ties_and_unequal_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0]), (3, [1.0, 0.0]), (4, [0.5]), (4, [0.5]), (5, [0.0, 2.0, 1.0])]
+    got = nearest(spark.createDataFrame(rows, VECTORS), F.col("vec_id") == 3, 3).collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1, 1.0), (2, 2, 1.0), (3, 4, 0.5)]
+
+
 def fingerprint(text, width=3):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
