@@ -26,6 +26,8 @@ _ROWS = 1 + len(PREFIXES)
 _WORD = re.compile(r"[^\W_]+")
 #: Words per forward step: bounds memory, except for one longer text.
 STEP = 200_000
+#: Words whose buckets a worker remembers.
+REMEMBERED = 100_000
 
 
 def words_of(text: str) -> list[str]:
@@ -38,6 +40,21 @@ def word_buckets(word: str) -> list[int]:
     return [zlib.crc32(p.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for p in parts]
 
 
+def buckets_of(words: list[str], known: dict[str, list[int]]) -> np.ndarray:
+    """Buckets of words, a row each. ``known`` remembers short ones, up to REMEMBERED; beyond, it forgets all."""
+    if len(known) > REMEMBERED:
+        known.clear()
+    out = []
+    for w in words:
+        own = known.get(w)
+        if own is None:
+            own = word_buckets(w)
+            if len(w) <= 32:
+                known[w] = own
+        out.append(own)
+    return np.array(out, dtype=np.int64).reshape(-1, _ROWS)
+
+
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -57,6 +74,7 @@ class ToxicityModel:
     curves: dict[str, tuple[float, float]] = field(default_factory=dict)
     marks: dict[str, str] = field(default_factory=dict)
     prior: float | None = None
+    known: dict[str, list[int]] = field(default_factory=dict)
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Calibrated chance of label 1 for each text, over all of its words."""
@@ -77,30 +95,34 @@ class ToxicityModel:
         return np.concatenate(out) if out else np.zeros(0)
 
     def _step(self, docs: list[list[str]]) -> np.ndarray:
-        z = self.raw(docs)
-        a, b = np.array([self.curves.get(self.language(d)) or self.curves[""] for d in docs]).T
+        words, ids, starts = _indexed(docs)
+        z = self._raw(words, ids, starts)
+        a, b = np.array([self.curves.get(lang) or self.curves[""] for lang in self._languages(words, ids, starts)]).T
         return _sigmoid(a * z + b)
 
-    def language(self, words: list[str]) -> str:
-        """The language whose marking words occur most; "" without any."""
-        seen = Counter(self.marks[w] for w in words if w in self.marks)
-        return max(seen, key=lambda k: (seen[k], k)) if seen else ""
+    def languages(self, docs: list[list[str]]) -> list[str]:
+        """The language whose marking words occur most in each text; "" without any."""
+        return self._languages(*_indexed(docs))
 
     def raw(self, docs: list[list[str]]) -> np.ndarray:
         """Output of the network before calibration."""
-        index: dict[str, int] = {}
-        flat: list[int] = []
-        starts = []
-        for d in docs:
-            starts.append(len(flat))
-            flat += (-1, -1)
-            flat += [index.setdefault(w, len(index)) for w in d]
-        flat += (-1, -1)
-        rows = np.array([word_buckets(w) for w in index], dtype=np.int64).reshape(-1, _ROWS)
-        own = np.zeros((len(index) + 1, self.table.shape[1]), dtype=np.float32)  # the last is the padding
+        return self._raw(*_indexed(docs))
+
+    def _languages(self, words: list[str], ids: np.ndarray, starts: np.ndarray) -> list[str]:
+        names = sorted(set(self.marks.values()), reverse=True)
+        if not names:
+            return [""] * len(starts)
+        number = {lang: i for i, lang in enumerate(names)}
+        own = np.array([number.get(self.marks.get(w), -1) for w in words] + [-1])[ids]
+        doc = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(ids)]))
+        seen = np.bincount((doc * len(names) + own)[own >= 0], minlength=len(starts) * len(names)).reshape(-1, len(names))
+        return [names[i] if n else "" for i, n in zip(seen.argmax(axis=1).tolist(), seen.max(axis=1).tolist(), strict=True)]
+
+    def _raw(self, words: list[str], ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        rows = buckets_of(words, self.known)
+        own = np.zeros((len(words) + 1, self.table.shape[1]), dtype=np.float32)  # the last is the padding
         for k in range(_ROWS):
             own[:-1] += self.table[rows[:, k]]
-        ids = np.array(flat)
         pooled, at = [], 0
         for i, w in enumerate(WIDTHS):
             n = len(ids) - w + 1
@@ -112,12 +134,25 @@ class ToxicityModel:
         return np.maximum(np.concatenate(pooled, axis=1), 0) @ self.out + self.shift
 
 
+def _indexed(docs: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words, the word numbers of all texts one after the other with padding (-1) around each, and where each text begins."""
+    index: dict[str, int] = {}
+    flat: list[int] = []
+    starts = []
+    for d in docs:
+        starts.append(len(flat))
+        flat += (-1, -1)
+        flat += [index.setdefault(w, len(index)) for w in d]
+    flat += (-1, -1)
+    return list(index), np.array(flat), np.array(starts)
+
+
 class _Net:
     """The network while it is trained: one document at a time, AdaGrad, gradients through the pooled windows only."""
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
-        self.rng = rng
+        self.rng, self.known = rng, {}
         self.e = np.vstack([rng.normal(0, 0.03, (BUCKETS, DIM)), np.zeros(DIM)])
         self.w = [rng.normal(0, 0.3, (w, DIM, FILTERS)) for w in WIDTHS]
         self.b = [np.zeros(FILTERS) for _ in WIDTHS]
@@ -133,11 +168,9 @@ class _Net:
         yield "v", self.v
         yield "c", self.c
 
-    @staticmethod
-    def rows(words: list[str]) -> np.ndarray:
+    def rows(self, words: list[str]) -> np.ndarray:
         pad = np.full((2, _ROWS), BUCKETS)
-        own = np.array([word_buckets(w) for w in words], dtype=np.int64).reshape(-1, _ROWS)
-        return np.concatenate([pad, own, pad])
+        return np.concatenate([pad, buckets_of(words, self.known), pad])
 
     def forward(self, rows: np.ndarray):
         x = self.e[rows].sum(axis=1)
@@ -249,7 +282,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_out
     model = net.model()
     model.marks = language_marks([(r[0], r[2]) for r in rows])
     test = test if len(set(y[test])) == 2 else learn
-    z, lang = model.raw([rows[i][0] for i in test]), np.array([model.language(rows[i][0]) for i in test])
+    tested = [rows[i][0] for i in test]
+    z, lang = model.raw(tested), np.array(model.languages(tested))
     share = min(max(prior, 0.01), 0.99)
     model.curves[""] = _platt(z, y[test], share)
     for k in sorted(set(lang) - {""}):
@@ -269,13 +303,15 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     names = [c for c in docs.columns if c != "toxic_score"]
     shape = docs.select(*names).withColumn("toxic_score", F.lit(0.0)).schema
     place = names.index("text")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # one table of BUCKETS rows
+    # One table of BUCKETS rows. Plain values travel, the model is put together in the task.
+    shared = docs.sparkSession.sparkContext.broadcast((model.table, model.bias, model.out, model.shift, model.curves, model.marks, model.prior))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = ToxicityModel(*shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                score = shared.value.score([t.as_py() or "" for t in batch.column(place)])
+                score = model.score([t.as_py() or "" for t in batch.column(place)])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score.astype(np.float64), pa.float64())], [*names, "toxic_score"])
 
     return docs.select(*names).mapInArrow(run, shape)
