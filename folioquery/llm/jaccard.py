@@ -1,4 +1,4 @@
-"""Exact self-join of shingle sets by Jaccard similarity: prefix filtering, then a count of what two sets share."""
+"""Near copies by SimHash, made exact for shingle sets by prefix filtering and a count of what two sets share."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from folioquery.llm.cluster import materialise
 from folioquery.llm.components import components
-from folioquery.llm.simhash import shingle_hashes, signed, words_of
+from folioquery.llm.simhash import code_links, majority, shingle_hashes, signed, words_of
 
 #: Texts whose shingles are counted to put rare ones first; shingles in COMMON of them count as common, COMMON_KEPT at most.
 #: These only decide how long buckets get: any order of shingles finds the same pairs.
@@ -22,6 +22,8 @@ SAMPLE, COMMON, COMMON_KEPT = 20_000, 4, 200_000
 REPS = 3
 #: Shingles that two sets must share among their first ones; fewer for sets at the similarity that can't share so many.
 SHARED = 4
+#: Differing bits of fingerprints within which the index links sets.
+BITS = 3
 _EPS = 1e-9
 
 
@@ -43,28 +45,45 @@ def near_sets(docs: DataFrame, width: int, similarity: float) -> tuple[DataFrame
     of every row; the second has edges (``a``, ``b``) whose sets have a Jaccard similarity of at
     least ``similarity``, enough of them to connect every pair at that similarity, directly or by steps.
 
-    Sets are put in one order, rare shingles first. Two sets at the similarity share SHARED of
-    their first ``prefix_length`` shingles (a small set fewer), so every such pair meets in that many buckets. Round one
+    The Gray-order index over the sets' fingerprints comes first and links most copies. A fingerprint differs in about 10 of its 64 bits
+    at similarity 0.8, within which an index can prune nothing, so two exact rounds add what lies beyond its limit. For them
+    sets are put in one order, rare shingles first. Two sets at the similarity share SHARED of
+    their first ``prefix_length`` shingles (a small set fewer), so every such pair meets in that many buckets. One round
     compares the members of a bucket with a few of them, which connects dense groups
-    at linear cost; round two compares all pairs of a bucket that aren't connected yet, none is left out.
+    at linear cost; the last compares all pairs of a bucket that aren't connected yet, none is left out. Every link of
+    all three is verified on the whole sets.
     """
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("sum"), F.xxhash64("doc_id", text).alias("row"), text.alias("text"))
     prints = materialise(_prefixes(keyed, *_common(keyed, width), width, similarity), "near-prints")
-    shared = materialise(_shared(prints), "near-shared")
-    owner = prints.groupBy("node").agg(F.min("row").alias("row"))
+    # Equal sets are one row from here on, so a group of copies weighs no more than one text.
+    nodes = materialise(prints.groupBy("node").agg(F.min("row").alias("row"), *[F.any_value(c).alias(c) for c in ("code", "n", "head")]), "near-nodes")
+    shared = materialise(_shared(nodes), "near-shared")
+    owner = nodes.select("node", "row")
 
-    def links(rows: DataFrame, reps: int | None) -> DataFrame:
-        pairs = materialise(_candidates(rows, similarity, reps), "near-pairs")
+    def links(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs, "near-pairs")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         texts = keyed.select("row", "text").join(owner.join(ends, "node"), "row").dropDuplicates(["row"]).select("node", "text")
         return materialise(_verified(pairs, materialise(_sets(texts, width), "near-sets"), similarity), "near-edges")
 
-    first = links(shared.withColumn("component", F.col("node")), REPS)
-    found = components(first)
-    labelled = shared.join(found, "node", "left").select(*shared.columns, F.coalesce("component", "node").alias("component"))
-    rest = links(labelled, None)
-    return prints.select("doc_id", "sum", "node"), first.unionByName(rest)
+    def labelled(edges: DataFrame) -> DataFrame:
+        """Rows of the buckets with the component that their node is in so far."""
+        return shared.join(components(edges), "node", "left").select(*shared.columns, F.coalesce("component", "node").alias("component"))
+
+    found = links(_by_fingerprint(nodes))
+    found = found.unionByName(links(_candidates(labelled(found), similarity, REPS)))
+    return prints.select("doc_id", "sum", "node"), found.unionByName(links(_candidates(labelled(found), similarity, None)))
+
+
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes that the index links: nodes of one fingerprint, and the first nodes of linked fingerprints."""
+    first = materialise(nodes.groupBy("code").agg(F.min("node").alias("first")), "near-codes")
+    same = nodes.select("node", "code").join(first, "code").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    edges = code_links(first, BITS).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    near = edges.join(first.select(F.col("code").alias("x"), F.col("first").alias("a")), "x").join(first.select(F.col("code").alias("y"), F.col("first").alias("b")), "y")
+    pairs = same.unionByName(near.select("a", "b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _common(keyed: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,14 +104,15 @@ def _common(keyed: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(keyed: DataFrame, common: np.ndarray, count: np.ndarray, width: int, similarity: float) -> DataFrame:
-    """``node``, size ``n`` and the first shingles of every row's set."""
+    """``node``, fingerprint ``code``, size ``n`` and the first shingles of every row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, heads = [], [], [np.zeros(0, dtype=np.int64)]
+            nodes, codes, sizes, heads = [], [], [], [np.zeros(0, dtype=np.int64)]
             for t in batch.column(3):
                 own = shingle_set(t.as_py(), width)
                 nodes.append(signed(xxhash.xxh64_intdigest(own.tobytes(), 42)))
+                codes.append(signed(majority(own.view(np.uint64))))
                 sizes.append(len(own))
                 if len(common):
                     at = np.searchsorted(common, own).clip(max=len(common) - 1)
@@ -100,12 +120,12 @@ def _prefixes(keyed: DataFrame, common: np.ndarray, count: np.ndarray, width: in
                 heads.append(own[: prefix_length(len(own), similarity)])
             ends = np.cumsum([len(h) for h in heads])
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(heads), pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), listed], ["doc_id", "sum", "row", "node", "n", "head"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(nodes, pa.int64()), pa.array(codes, pa.int64()), pa.array(sizes, pa.int32()), listed], ["doc_id", "sum", "row", "node", "code", "n", "head"])
 
-    return keyed.mapInArrow(run, "doc_id long, sum long, row long, node long, n int, head array<long>")
+    return keyed.mapInArrow(run, "doc_id long, sum long, row long, node long, code long, n int, head array<long>")
 
 
-def _shared(prints: DataFrame) -> DataFrame:
+def _shared(nodes: DataFrame) -> DataFrame:
     """``token``, ``node``, ``n`` and ``pos`` of the first shingles that two nodes or more have among theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +137,7 @@ def _shared(prints: DataFrame) -> DataFrame:
             keep = np.r_[False, same] | np.r_[same, False]
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], ["token", "node", "n", "pos"])
 
-    rows = prints.select("node", "n", F.posexplode("head").alias("pos", "token")).select("token", "node", "n", "pos")
+    rows = nodes.select("node", "n", F.posexplode("head").alias("pos", "token")).select("token", "node", "n", "pos")
     return rows.repartition("token").sortWithinPartitions("token", "node").mapInArrow(run, "token long, node long, n int, pos int")
 
 

@@ -255,8 +255,8 @@ def drop_near_duplicates(docs: DataFrame, *, width: int = 5, similarity: float =
     """Keep one document, the one with the smallest id, of each group of near copies.
 
     Two texts are near copies if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more.
-    Every such pair is found (prefix filtering, see ``jaccard.near_sets``) and every link is verified on the
-    whole sets. Groups are the components of the links, so two texts of a group may be less similar than that to each other.
+    The Gray-order index over fingerprints of five-word shingles links most of them and prefix filtering finds every other
+    such pair (see ``jaccard.near_sets``); every link is verified on the whole sets. Groups are the components of the links, so two texts of a group may be less similar than that to each other.
 
     Returns the rows of ``docs`` that stay, all columns.
 

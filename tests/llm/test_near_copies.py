@@ -79,3 +79,12 @@ def test_texts_below_the_similarity_stay(spark):
         rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: 200 - cut] + [f"t{rng.randrange(10**6)}" for _ in range(cut)]))]
     assert survivors(rows) == list(range(80))
     assert left(spark, rows) == list(range(80))
+
+
+def test_copies_in_one_fingerprint_are_verified(spark, monkeypatch):
+    # With a limit of 64 bits the index links everything; only what has the similarity may stay linked.
+    monkeypatch.setattr(jaccard, "BITS", 64)
+    rng = random.Random(12)
+    rows = corpus(12, lambda rng, base: [w if rng.random() > 0.01 else f"x{rng.randrange(3000)}" for w in base])[:120]
+    rows += [(1000 + k, rows[k][1].upper()) for k in range(0, 120, 7)] + [(2000 + k, "one text of many copies in a row") for k in range(200)]
+    assert left(spark, rows) == survivors(rows)

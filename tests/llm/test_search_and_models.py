@@ -2,9 +2,13 @@
 
 import functools
 import importlib
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -375,3 +379,47 @@ def test_pipeline_stages(spark, tmp_path):
     ids = {r.doc_id for r in out}
     assert 5000 not in ids and len([i for i in ids if i % 4 == 0]) <= 5
     assert all(r.n_tokens == len(r.piece_ids) and r.piece_ids[-1] == 2 for r in out)
+
+
+def test_pipeline_takes_odd_rows(spark, tmp_path):
+    pipeline = importlib.import_module("corpus_pipeline")
+    docs, labels = corpus(200)
+    docs = [(i, t, lang, f"src{i % 3}", len(t), "mine", 7) for i, t, lang in docs]
+    docs += [(5000, None, None, None, None, None, None), (5001, "", "en", "src1", 0, None, None), (None, "no id " * 30, "en", "src2", 1, None, None), (None, "no id " * 30, "en", "src2", 1, None, None)]
+    docs += [docs[1], docs[1], (5002, "unbroken" * 20_000, "en", "src0", 1, None, None)]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, quality_score string, n_lines long"
+    for name, rows in (("full", docs), ("empty", [])):
+        spark.createDataFrame(rows, shape).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    step = spark.read.parquet(f"{tmp_path}/full/documents.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        step = stage(spark, step, f"{tmp_path}/full")
+        assert step.columns == [c.split()[0] for c in shape.split(", ")]
+    assert {r.quality_score for r in step.where("doc_id < 200").collect()} == {"mine"}
+    out = pipeline.run(spark, f"{tmp_path}/full").collect()
+    assert len(out) > 50 and all(r.n_tokens == len(r.piece_ids) for r in out)
+    assert pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+WITHOUT = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = (
+    SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+    .config("spark.checkpoint.dir", "file://{work}/shared").getOrCreate()
+)
+import __spark_entry__ as entry
+for name in ("op2_top_k", "op6_pieces", "op7_toxicity", "op8_simhash", "op9_quality", "op10_nearest", "pipeline"):
+    print(name, entry.queries()[name](spark, {data!r}).count())
+"""
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    # Plain workers: another folder, and nothing of this repository on their path.
+    repo, data = str(Path(__file__).resolve().parents[2]), "/root/testdata/sf0.001"
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    script = WITHOUT.format(repo=repo, work=tmp_path, data=data)
+    out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stderr[-3000:]
+    assert len(out.stdout.split("\n")) >= 7
