@@ -56,16 +56,24 @@ class Shard:
         theta = -np.inf
         if len(others) > k:
             # A first threshold, reached by the vectors that are best on the strongest terms.
-            head = q[:PROBE] @ self.postings[terms[:PROBE]]
+            head = np.zeros(len(self.ids))
+            self._traverse(head, q, terms, 0, min(PROBE, n))
             theta = self._reached(q, terms, others[np.argpartition(-head[others], k - 1)[:k]])
         m = self.essential(least, rest, theta)
-        part = q[:m] @ self.postings[terms[:m]]
+        part = np.zeros(len(self.ids))
+        self._traverse(part, q, terms, 0, m)
         if len(others) > k:
             theta = max(theta, self._reached(q, terms, others[np.argpartition(-part[others], k - 1)[:k]]))
         alive = others[part[others] + rest[m] >= theta]
-        part = part[alive]
         self.work += (m, n, len(alive), len(others))
-        # The other terms are probed only for vectors that can still compete.
+        # The other terms are probed only while vectors can still compete: in whole postings
+        # as long as most vectors do, then one by one.
+        while m < n and len(alive) * 4 > len(part):
+            to = min(n, m + PROBE)
+            self._traverse(part, q, terms, m, to)
+            m = to
+            alive = alive[part[alive] + rest[m] >= theta]
+        part = part[alive]
         while m < n and len(alive):
             to = min(n, m + PROBE)
             part = part + q[m:to] @ self.postings[np.ix_(terms[m:to], alive)]
@@ -77,6 +85,11 @@ class Shard:
             top = top[np.sort(np.unique(self.ids[alive][top], return_index=True)[1])][:wanted]
         return self.ids[alive][top], part[top].astype(np.int64)
 
+    def _traverse(self, part: np.ndarray, q: np.ndarray, terms: np.ndarray, start: int, stop: int) -> None:
+        """Add the postings of some terms to the partial scores of all vectors."""
+        for t in range(start, stop):
+            part += q[t] * self.postings[terms[t]]
+
     def _reached(self, q: np.ndarray, terms: np.ndarray, some: np.ndarray) -> float:
         """The least whole score of some vectors."""
         return float((q @ self.postings[np.ix_(terms, some)]).min())
