@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioquery.llm.cluster import materialise
-from folioquery.llm.vectors import PARTIAL, by_block, matrix, merge_best, usable
+from folioquery.llm.vectors import PARTIAL, by_block, components_of, matrix, merge_best, usable
 
 #: Projected dimensions and bits of each on a curve; the most curves, and the fewest.
 AXES, BITS, CURVES, FEWEST = 10, 4, 8, 2
@@ -137,7 +137,7 @@ def nearest(
     clean = materialise(
         vectors.where(usable(F.col(vector_col), zero=False) & F.col(id_col).isNotNull()).select(
             F.col(id_col).cast("long").alias("vec_id"),
-            F.col(vector_col).cast("array<double>").alias("v"),
+            components_of(vectors, vector_col).alias("v"),
             F.coalesce(is_query, F.lit(False)).alias("asks"),
             F.xxhash64(id_col).alias("tie"),
         ),
@@ -167,7 +167,8 @@ def order_by_curves(clean: DataFrame, curves: Curves, n: int, dim: int) -> DataF
                 key = pa.array(curves.keys(v, c), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), c), pa.int32()), key, *batch.columns], ["curve", "key", "vec_id", "v", "asks", "tie"])
 
-    keyed = clean.mapInArrow(place, "curve int, key long, vec_id long, v array<double>, asks boolean, tie long")
+    kind = clean.schema["v"].dataType.simpleString()
+    keyed = clean.mapInArrow(place, f"curve int, key long, vec_id long, v {kind}, asks boolean, tie long")
     order = ["curve", "key", "tie", "vec_id"]
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Written with its range and its place there, so that counts and rows tell of one and the same order.

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioquery.llm.cluster import materialise
-from folioquery.llm.vectors import by_block, merge_best, usable
+from folioquery.llm.vectors import by_block, components_of, merge_best, usable
 
 #: Vectors of one shard: the fewest and the most; more than SHARDS shards are made only of the largest.
 SHARD, LARGEST, SHARDS = 4096, 65_536, 64
@@ -114,7 +114,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, *, scale: int = 256,
     clean = materialise(
         vectors.where(usable(F.col(vector_col), zero=True) & F.col(id_col).isNotNull()).select(
             F.col(id_col).cast("long").alias("vec_id"),
-            F.col(vector_col).cast("array<double>").alias("v"),
+            components_of(vectors, vector_col).alias("v"),
             F.coalesce(is_query, F.lit(False)).alias("asks"),
         ),
         "search-vectors",

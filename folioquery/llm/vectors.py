@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def usable(vector: Column, *, zero: bool) -> Column:
@@ -18,6 +19,12 @@ def usable(vector: Column, *, zero: bool) -> Column:
     return ok if zero else ok & F.exists(x, lambda v: v != 0)
 
 
+def components_of(df: DataFrame, name: str) -> Column:
+    """A vector column as floats where it has them, else as doubles: what is exact, and no wider than it was."""
+    item = df.schema[name].dataType.elementType
+    return F.col(name) if isinstance(item, T.FloatType | T.DoubleType) else F.col(name).cast("array<double>")
+
+
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     """Rows of a list column as doubles; a shorter list is filled with zeros."""
     length = np.diff(column.offsets.to_numpy())
