@@ -63,8 +63,9 @@ def near_sets(docs: DataFrame, width: int, similarity: float) -> tuple[DataFrame
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs, "near-pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = keyed.select("row", "text").join(owner.join(ends, "node"), "row").dropDuplicates(["row"]).select("node", "text")
+        # Written first: Spark then knows how few texts are wanted, and moves the others only where they are many.
+        ends = materialise(owner.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), "near-ends")
+        texts = keyed.select("row", "text").join(ends, "row").dropDuplicates(["row"]).select("node", "text")
         return materialise(_verified(pairs, materialise(_sets(texts, width), "near-sets"), similarity), "near-edges")
 
     def labelled(edges: DataFrame) -> DataFrame:

@@ -277,7 +277,7 @@ def drop_near_duplicates(docs: DataFrame, *, width: int = 5, similarity: float =
     )
     same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("sum") == F.col("best.sum"))
     judged = materialise(grouped.join(best, "component").select("doc_id", "sum", same.alias("stays")), "near-judged")
-    gone = judged.where(~F.col("stays")).select(F.col("doc_id").alias("__fq_id"), F.col("sum").alias("__fq_sum")).distinct()
+    gone = materialise(judged.where(~F.col("stays")).select(F.col("doc_id").alias("__fq_id"), F.col("sum").alias("__fq_sum")).distinct(), "near-gone")
     text_sum = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__fq_id"]) & (text_sum == gone["__fq_sum"]), "left_anti")
     # Only rows that repeat both id and text can be left twice.
