@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioquery.llm.cluster import materialise
+from folioquery.llm.cluster import discard, materialise
 from folioquery.llm.components import components
 from folioquery.llm.simhash import code_links, majority, shingle_hashes, signed, words_of
 
@@ -23,7 +23,7 @@ REPS = 3
 #: Shingles that two sets must share among their first ones; fewer for sets at the similarity that can't share so many.
 SHARED = 4
 #: Differing bits of fingerprints within which the index links sets.
-BITS = 3
+BITS = 2
 _EPS = 1e-9
 
 
@@ -49,8 +49,8 @@ def near_sets(docs: DataFrame, width: int, similarity: float) -> tuple[DataFrame
     at similarity 0.8, within which an index can prune nothing, so two exact rounds add what lies beyond its limit. For them
     sets are put in one order, rare shingles first. Two sets at the similarity share SHARED of
     their first ``prefix_length`` shingles (a small set fewer), so every such pair meets in that many buckets. One round
-    compares the members of a bucket with a few of them, which connects dense groups
-    at linear cost; the last compares all pairs of a bucket that aren't connected yet, none is left out. Every link of
+    compares the members of a bucket with the few whose fingerprints lie closest to the bucket's majority, which connects
+    dense groups at linear cost; the last compares all pairs of a bucket that aren't connected yet, none is left out. Every link of
     all three is verified on the whole sets.
     """
     text = F.coalesce("text", F.lit(""))
@@ -58,23 +58,33 @@ def near_sets(docs: DataFrame, width: int, similarity: float) -> tuple[DataFrame
     prints = materialise(_prefixes(keyed, *_common(keyed, width), width, similarity), "near-prints")
     # Equal sets are one row from here on, so a group of copies weighs no more than one text.
     nodes = materialise(prints.groupBy("node").agg(F.min("row").alias("row"), *[F.any_value(c).alias(c) for c in ("code", "n", "head")]), "near-nodes")
+    narrow = materialise(prints.select("doc_id", "sum", "node"), "near-rows")
+    discard(prints)
     shared = materialise(_shared(nodes), "near-shared")
-    owner = nodes.select("node", "row")
+    owner = materialise(nodes.select("node", "row", "code"), "near-owners")
+    discard(nodes)
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs, "near-pairs")
         # Written first: Spark then knows how few texts are wanted, and moves the others only where they are many.
         ends = materialise(owner.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), "near-ends")
         texts = keyed.select("row", "text").join(ends, "row").dropDuplicates(["row"]).select("node", "text")
-        return materialise(_verified(pairs, materialise(_sets(texts, width), "near-sets"), similarity), "near-edges")
+        sets = materialise(_sets(texts, width), "near-sets")
+        edges = materialise(_verified(pairs, sets, similarity), "near-edges")
+        for done in (pairs, ends, sets):
+            discard(done)
+        return edges
 
     def labelled(edges: DataFrame) -> DataFrame:
         """Rows of the buckets with the component that their node is in so far."""
         return shared.join(components(edges), "node", "left").select(*shared.columns, F.coalesce("component", "node").alias("component"))
 
-    found = links(_by_fingerprint(nodes))
+    found = links(_by_fingerprint(owner))
     found = found.unionByName(links(_candidates(labelled(found), similarity, REPS)))
-    return prints.select("doc_id", "sum", "node"), found.unionByName(links(_candidates(labelled(found), similarity, None)))
+    found = found.unionByName(links(_candidates(labelled(found), similarity, None)))
+    for done in (shared, owner):
+        discard(done)
+    return narrow, found
 
 
 def _by_fingerprint(nodes: DataFrame) -> DataFrame:
@@ -127,7 +137,7 @@ def _prefixes(keyed: DataFrame, common: np.ndarray, count: np.ndarray, width: in
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
-    """``token``, ``node``, ``n`` and ``pos`` of the first shingles that two nodes or more have among theirs."""
+    """``token``, ``node``, ``n``, ``pos`` and ``code`` of the first shingles that two nodes or more have among theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in _whole(batches):
@@ -136,10 +146,10 @@ def _shared(nodes: DataFrame) -> DataFrame:
             cols = [c[once] for c in cols]
             same = cols[0][1:] == cols[0][:-1]
             keep = np.r_[False, same] | np.r_[same, False]
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], ["token", "node", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], ["token", "node", "n", "pos", "code"])
 
-    rows = nodes.select("node", "n", F.posexplode("head").alias("pos", "token")).select("token", "node", "n", "pos")
-    return rows.repartition("token").sortWithinPartitions("token", "node").mapInArrow(run, "token long, node long, n int, pos int")
+    rows = nodes.select("node", "n", "code", F.posexplode("head").alias("pos", "token")).select("token", "node", "n", "pos", "code")
+    return rows.repartition("token").sortWithinPartitions("token", "node").mapInArrow(run, "token long, node long, n int, pos int, code long")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -153,7 +163,7 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
 def _candidates(rows: DataFrame, similarity: float, reps: int | None) -> DataFrame:
     """Pairs in different components that meet in enough buckets, and whose sizes and positions allow the similarity.
 
-    With ``reps`` only pairs with one of the first ``reps`` nodes of the bucket.
+    With ``reps`` only pairs with one of the bucket's ``reps`` most central nodes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,11 +171,11 @@ def _candidates(rows: DataFrame, similarity: float, reps: int | None) -> DataFra
             for a, b, least in _bucket_pairs(*cols, similarity, reps):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(least)], ["a", "b", "least"])
 
-    dealt = rows.select("token", "node", "n", "pos", "component").repartition("token").sortWithinPartitions("token", "node")
+    dealt = rows.select("token", "node", "n", "pos", "code", "component").repartition("token").sortWithinPartitions("token", "node")
     return dealt.mapInArrow(run, "a long, b long, least long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("least")).where("n >= least").select("a", "b")
 
 
-def _bucket_pairs(token, node, n, pos, component, similarity: float, reps: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _bucket_pairs(token, node, n, pos, code, component, similarity: float, reps: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     size = np.diff(np.r_[start, len(token)])
     mixed = np.maximum.reduceat(component, start) != np.minimum.reduceat(component, start)
@@ -179,13 +189,15 @@ def _bucket_pairs(token, node, n, pos, component, similarity: float, reps: int |
         # At the first SHARED shingles that two sets share, no more than what is left of both can follow.
         ok &= SHARED + np.minimum(left[i], left[j]) >= similarity / (1 + similarity) * total - _EPS
         i, j = i[ok], j[ok]
-        return node[i], node[j], np.minimum(SHARED, np.ceil(similarity * np.minimum(n[i], n[j]) - _EPS).astype(np.int64))
+        a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        return a, b, np.minimum(SHARED, np.ceil(similarity * np.minimum(n[i], n[j]) - _EPS).astype(np.int64))
 
     if reps is not None:
+        order = np.lexsort((node, _off_centre(code, start, size), np.repeat(start, size)))
         at = np.arange(len(token)) - np.repeat(start, size)
         for k in range(reps):
             j = np.flatnonzero(at > k)
-            yield fit(j - at[j] + k, j)
+            yield fit(order[j - at[j] + k], order[j])
         return
     small = np.repeat(mixed & (size <= 64), size)
     for step in range(1, min(64, int(size.max()))):
@@ -201,6 +213,13 @@ def _bucket_pairs(token, node, n, pos, component, similarity: float, reps: int |
             yield fit(i[ahead], j[ahead])
 
 
+def _off_centre(code: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Differing bits between each fingerprint and the majority of its bucket."""
+    bits = np.unpackbits(code.view(np.uint8).reshape(-1, 8), axis=1)
+    centre = np.add.reduceat(bits, start, axis=0, dtype=np.int64) * 2 > size[:, None]
+    return (bits != np.repeat(centre, size, axis=0)).sum(axis=1)
+
+
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of whole tokens, as many as a batch ends. Rows come sorted by token, the first column."""
     held: list[list[np.ndarray]] = []
