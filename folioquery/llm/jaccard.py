@@ -60,14 +60,17 @@ def near_sets(docs: DataFrame, width: int, similarity: float) -> tuple[DataFrame
     nodes = materialise(prints.groupBy("node").agg(F.min("row").alias("row"), *[F.any_value(c).alias(c) for c in ("code", "n", "head")]), "near-nodes")
     narrow = materialise(prints.select("doc_id", "sum", "node"), "near-rows")
     discard(prints)
-    shared = materialise(_shared(nodes), "near-shared")
-    owner = materialise(nodes.select("node", "row", "code"), "near-owners")
+    owner = materialise(nodes.select("node", "row", "n", "code"), "near-owners")
+    # Only what is needed to meet travels for every shingle; sizes and fingerprints join those that are shared.
+    met = materialise(_shared(nodes), "near-met")
     discard(nodes)
+    shared = materialise(met.join(owner.drop("row"), "node").select("token", "node", "n", "pos", "code"), "near-shared")
+    discard(met)
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs, "near-pairs")
         # Written first: Spark then knows how few texts are wanted, and moves the others only where they are many.
-        ends = materialise(owner.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), "near-ends")
+        ends = materialise(owner.select("node", "row").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), "near-ends")
         texts = keyed.select("row", "text").join(ends, "row").dropDuplicates(["row"]).select("node", "text")
         sets = materialise(_sets(texts, width), "near-sets")
         edges = materialise(_verified(pairs, sets, similarity), "near-edges")
@@ -137,7 +140,7 @@ def _prefixes(keyed: DataFrame, common: np.ndarray, count: np.ndarray, width: in
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
-    """``token``, ``node``, ``n``, ``pos`` and ``code`` of the first shingles that two nodes or more have among theirs."""
+    """``token``, ``node`` and ``pos`` of the first shingles that two nodes or more have among theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in _whole(batches):
@@ -146,10 +149,10 @@ def _shared(nodes: DataFrame) -> DataFrame:
             cols = [c[once] for c in cols]
             same = cols[0][1:] == cols[0][:-1]
             keep = np.r_[False, same] | np.r_[same, False]
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], ["token", "node", "n", "pos", "code"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], ["token", "node", "pos"])
 
-    rows = nodes.select("node", "n", "code", F.posexplode("head").alias("pos", "token")).select("token", "node", "n", "pos", "code")
-    return rows.repartition("token").sortWithinPartitions("token", "node").mapInArrow(run, "token long, node long, n int, pos int, code long")
+    rows = nodes.select("node", F.posexplode("head").alias("pos", "token")).select("token", "node", "pos")
+    return rows.repartition("token").sortWithinPartitions("token", "node").mapInArrow(run, "token long, node long, pos int")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
