@@ -99,13 +99,13 @@ def normal_path(path: Column) -> Column:
 def resolution_keys(records: DataFrame) -> DataFrame:
     """``class``, ``key``, ``path`` for every way a record can be named. ``records`` has ``path``, ``id``, ``title`` (either may be null).
 
-    A basename loses its .md; names compare in lower case.
+    A basename loses its .md; ids, basenames and titles compare in lower case.
     """
     base = F.regexp_replace(F.substring_index("path", "/", -1), r"\.md$", "")
     keys = F.array(
-        F.struct(F.lit("id").alias("class"), F.col("id").alias("key")),
+        F.struct(F.lit("id").alias("class"), F.lower("id").alias("key")),
         F.struct(F.lit("basename").alias("class"), F.lower(base).alias("key")),
-        F.struct(F.lit("title").alias("class"), F.col("title").alias("key")),
+        F.struct(F.lit("title").alias("class"), F.lower("title").alias("key")),
         F.struct(F.lit("path").alias("class"), F.col("path").alias("key")),
     )
     return records.select("path", F.explode(keys).alias("k")).where("k.key is not null").select("k.class", "k.key", "path")
@@ -135,9 +135,9 @@ def resolve(links: DataFrame, records: DataFrame, *, unique: bool = False) -> Da
     asked = asked.withColumn("full", F.when(by_path & ~F.col("external"), whole))
     name = F.regexp_replace("target", r"\.md$", "")
     wanted = F.array(
-        F.struct(F.lit("id").alias("class"), name.alias("key")),
+        F.struct(F.lit("id").alias("class"), F.lower(name).alias("key")),
         F.struct(F.lit("basename").alias("class"), F.lower(name).alias("key")),
-        F.struct(F.lit("title").alias("class"), name.alias("key")),
+        F.struct(F.lit("title").alias("class"), F.lower(name).alias("key")),
     )
     paths = F.array(
         F.struct(F.lit("path").alias("class"), F.col("full").alias("key")),

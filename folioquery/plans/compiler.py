@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,6 +47,11 @@ class Val:
     const: object = ...
 
 
+def clock() -> str:
+    """The present moment, taken once for a whole operation."""
+    return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+
+
 @dataclass
 class Scope:
     """What names mean: fields, fixed bindings (as Val or a nested dict) and query-wide constants."""
@@ -53,7 +59,7 @@ class Scope:
     fields: dict[str, Val] = field(default_factory=dict)
     bindings: dict[str, object] = field(default_factory=dict)
     timezone: str = "UTC"
-    now: str = "1970-01-01T00:00:00Z"
+    now: str = field(default_factory=lambda: clock())
 
     def bind(self, **more) -> Scope:
         return Scope(self.fields, {**self.bindings, **more}, self.timezone, self.now)

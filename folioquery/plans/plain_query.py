@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioquery.operators.frame import Records
 from folioquery.operators.grouping import plain_summary
 from folioquery.operators.paging import enum_order
-from folioquery.plans.compiler import Scope, Val, compiler
+from folioquery.plans.compiler import Scope, Val, clock, compiler
 from folioquery.plans.syntax import PLAIN, ExpressionError, in_order, parse, references
 from folioquery.values import NULL
 
@@ -53,7 +53,7 @@ def condition(c, where) -> Column:
 
 def run_plain_query(records: Records, query: dict, *, this: dict[str, Val] | None = None, enums: dict[str, list[str]] | None = None) -> PlainOutcome:
     """Compile an older query. Nulls flow, truthiness decides, groups ignore the page."""
-    scope = Scope(dict(records.fields), {**records.bindings(), **({"this": this} if this else {})}, query.get("timezone", "UTC"), query.get("now", "1970-01-01T00:00:00Z"))
+    scope = Scope(dict(records.fields), {**records.bindings(), **({"this": this} if this else {})}, query.get("timezone", "UTC"), query.get("now") or clock())
     df = records.df
     if query.get("types"):
         df = df.where(records.has_type(query["types"]))
@@ -93,7 +93,7 @@ def run_plain_query(records: Records, query: dict, *, this: dict[str, Val] | Non
         desc = g.get("direction", "ASC").upper() == "DESC"
         paths = F.sort_array(F.collect_list(records.path))
         groups = df.groupBy(key.alias("value")).agg(F.count(F.lit(1)).alias("count"), paths.alias("paths"))
-        groups = groups.orderBy(F.col("value").desc_nulls_last() if desc else F.col("value").asc_nulls_first())
+        groups = groups.orderBy(F.col("value").desc_nulls_first() if desc else F.col("value").asc_nulls_last())
     else:
         if query.get("offset"):
             out = out.offset(query["offset"])

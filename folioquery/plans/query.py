@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioquery.operators.frame import Records
 from folioquery.operators.grouping import Summary, grouped
-from folioquery.plans.compiler import Scope, Val, compiler
+from folioquery.plans.compiler import Scope, Val, clock, compiler
 from folioquery.plans.syntax import CEL, ExpressionError, Name, children, in_order, parse, references
 from folioquery.values import sort_keys
 
@@ -64,7 +64,7 @@ def run_query(records: Records, query: dict, *, this: dict[str, Val] | None = No
     for k in ("limit", "offset"):
         if k in query and (not isinstance(query[k], int) or query[k] < 0):
             raise ExpressionError(f"{k} must be a whole number", "invalid_query")
-    scope = Scope(dict(records.fields), records.bindings(), query.get("timezone", "UTC"), query.get("now", "1970-01-01T00:00:00Z"))
+    scope = Scope(dict(records.fields), records.bindings(), query.get("timezone", "UTC"), query.get("now") or clock())
     if this is not None:
         scope = scope.bind(this=this)
     df = records.df

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioquery.operators.frame import Records
-from folioquery.plans.compiler import Scope, Val, compiler
+from folioquery.plans.compiler import Scope, Val, clock, compiler
 from folioquery.plans.query import Outcome, run_query
 from folioquery.plans.syntax import VIEW, ExpressionError, in_order, parse, references
 from folioquery.values import NULL, canonical_json
@@ -43,14 +43,14 @@ def condition(c, node) -> Column:
     return out
 
 
-def run_view(records: Records, document: str | dict, name: str, *, now: str = "1970-01-01T00:00:00Z", timezone: str = "UTC") -> ViewOutcome:
+def run_view(records: Records, document: str | dict, name: str, *, now: str | None = None, timezone: str = "UTC") -> ViewOutcome:
     """Run the view of a name in a view file: shared and own filters, formulas, sort with null greatest, and group counts."""
     doc = yaml.safe_load(document) if isinstance(document, str) else document
     found = [v for v in doc.get("views", []) if v.get("name") == name]
     if not found:
         raise ExpressionError(f"no view {name}", "view_not_found")
     view = found[0]
-    scope = Scope(dict(records.fields), records.bindings(), timezone, now)
+    scope = Scope(dict(records.fields), records.bindings(), timezone, now or clock())
     trees = {k: parse(str(s), VIEW) for k, s in (doc.get("formulas") or {}).items()}
     formulas: dict[str, Val] = {}
     for k in in_order({k: references(t, "formula") for k, t in trees.items()}):

@@ -113,3 +113,17 @@ def test_unknown_names_and_functions(frame):
         with pytest.raises(ExpressionError) as e:
             compiler("cel", Scope(fields)).text(text)
         assert e.value.code == code
+
+
+def test_the_clock_runs_and_stands_within_a_query(spark):
+    import datetime
+
+    from folioquery.operators.frame import from_table
+    from folioquery.plans.query import run_query
+
+    today = datetime.datetime.now(datetime.UTC).date()
+    due = [(1, today - datetime.timedelta(days=400)), (2, today + datetime.timedelta(days=400))]
+    records = from_table(spark.createDataFrame(due, "id long, due date"), "t", "id")
+    assert [r.id for r in run_query(records, {"where": "due < today()", "select": ["id"]}).results.collect()] == [1]
+    assert run_query(records, {"where": "now() == now()"}).total_count() == 2
+    assert run_query(records, {"where": "due < today()", "now": "1970-01-01T00:00:00Z"}).total_count() == 0

@@ -76,7 +76,9 @@ def test_plain_queries(tasks):
     row = out.summaries.first()
     assert (row.estimate, row.status, row.xs, row.ok) == (3.0, 2, 1, 2)
     groups = run_plain_query(tasks, {"groupBy": {"property": "status"}, "limit": 1}).groups.collect()
-    assert [(g.value, g["count"]) for g in groups] == [(None, 1), ("10", 1), ("2", 1), ("done", 2)]
+    assert [(g.value, g["count"]) for g in groups] == [("10", 1), ("2", 1), ("done", 2), (None, 1)]
+    down = run_plain_query(tasks, {"groupBy": {"property": "status", "direction": "DESC"}}).groups.collect()
+    assert [g.value for g in down] == [None, "done", "2", "10"]
     nothing = run_plain_query(tasks, {"where": {"neither": []}, "property_summaries": {"estimate": "Sum", "title": "Latest"}})
     assert tuple(nothing.summaries.first()) == (0.0, None)
     assert ids(run_plain_query(tasks, {"where": {"and": ["estimate > 1", {"not": "status == 'done'"}], "or": ["false"]}}).results) == ["a", "e"]
@@ -133,6 +135,7 @@ def test_resolution(spark):
         "[[dup]]": (None, "ambiguous"), "[[Twice]]": (None, "ambiguous"), "[[one.md#part]]": ("books/one.md", None), "one.md": (None, "missing"), "beta.md": ("notes/beta.md", None), "beta": ("notes/beta.md", None),
         "../books/two.md": ("books/two.md", None), "/x/three": ("x/three.md", None), "[[books/two]]": ("books/two.md", None), "[t](./beta.md)": ("notes/beta.md", None), "https://e.org/a": (None, "external"),
         "[[nothing]]": (None, "missing"), "../../up.md": (None, "missing"), "[[ALPHA]]": ("notes/alpha.md", None),
+        "[[BK]]": ("books/one.md", None), "[[the one]]": ("books/one.md", None), "[[TWICE]]": (None, "ambiguous"),
     }
     asked = spark.createDataFrame([("notes/origin.md", c) for c in cases], "source_path string, raw_target string")
     got = {r.raw_target: (r.target_path, r.reason) for r in links.resolve(asked, records).collect()}
