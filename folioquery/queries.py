@@ -87,17 +87,6 @@ canonical(
     {"select": ["p_partkey", {"name": "label", "expr": "p_brand + ':' + p_type.lower()"}, {"name": "large", "expr": "p_size > 25"}]},
     "SELECT 'part/' || p_partkey AS path, p_partkey, p_brand || ':' || lower(p_type) AS label, p_size > 25 AS large FROM part",
 )
-canonical(
-    "order_nulls_desc", "orders",
-    {"projections": {"k": {"expr": "o_totalprice / (o_custkey % 3 == 0 ? 0.0 : 1.0)"}}, "select": ["o_orderkey", "projection.k"], "order_by": [{"field": "projection.k", "direction": "desc"}], "limit": 600},
-    f"SELECT {_ORDER}, o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_totalprice END AS k FROM orders ORDER BY k DESC NULLS FIRST, 1 LIMIT 600",
-)
-canonical(
-    "order_multi_key_path_tiebreak", "orders",
-    {"select": ["o_orderstatus", "o_orderpriority"], "order_by": [{"field": "o_orderstatus", "direction": "desc"}, {"field": "o_orderpriority"}], "limit": 100},
-    f"SELECT {_ORDER}, o_orderstatus, o_orderpriority FROM orders ORDER BY o_orderstatus DESC NULLS FIRST, o_orderpriority ASC NULLS LAST, path LIMIT 100",
-)
-# A place for every row, where the two queries above return the first rows alone.
 def ordered_whole(name: str, source: str, spec: dict, sql: str) -> None:
     """Register a canonical query over a whole table with every row's place in its order."""
 
@@ -172,10 +161,10 @@ canonical(
 
 @query(
     "legacy_summaries",
-    "SELECT count(DISTINCT o_orderpriority) AS o_orderpriority, round(avg(o_totalprice), 4) AS o_totalprice, max(o_orderstatus) AS o_orderstatus FROM orders WHERE o_custkey % 2 <> 0",
+    "SELECT count(DISTINCT o_orderpriority) AS o_orderpriority, round(avg(o_totalprice), 4) AS o_totalprice, max(o_orderstatus) AS o_orderstatus FROM orders WHERE o_custkey <> 0",
 )
 def legacy_summaries(spark, sf_dir):
-    spec = {"where": "o_custkey % 2", "property_summaries": {"o_orderpriority": "Unique", "o_totalprice": "Average", "o_orderstatus": "Latest"}}
+    spec = {"where": "o_custkey", "property_summaries": {"o_orderpriority": "Unique", "o_totalprice": "Average", "o_orderstatus": "Latest"}}
     out = run_plain_query(records(spark, sf_dir, "orders"), spec).summaries
     return out.withColumn("o_totalprice", F.round("o_totalprice", 4))
 
@@ -209,15 +198,6 @@ def legacy_group_rows(spark, sf_dir):
     return run_plain_query(records(spark, sf_dir, "part"), {"groupBy": {"property": "p_size", "direction": "DESC"}}).groups
 
 
-@query(
-    "enum_order",
-    f"SELECT {_ORDER}, o_orderpriority FROM orders ORDER BY CASE o_orderpriority WHEN '5-LOW' THEN 1 WHEN '1-URGENT' THEN 2 WHEN '3-MEDIUM' THEN 3 ELSE 6 END, path LIMIT 80",
-)
-def enum_order(spark, sf_dir):
-    r = run_plain_query(records(spark, sf_dir, "orders"), {"order_by": ["o_orderpriority"], "limit": 80}, enums={"o_orderpriority": ["5-LOW", "1-URGENT", "3-MEDIUM"]})
-    return r.results.select("path", "o_orderpriority")
-
-
 @query(
     "enum_order_whole",
     f"SELECT *, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '5-LOW' THEN 1 WHEN '1-URGENT' THEN 2 WHEN '3-MEDIUM' THEN 3 ELSE 6 END, path) AS place FROM (SELECT {_ORDER}, o_orderpriority FROM orders)",
@@ -387,49 +367,22 @@ def _named_parts(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     folder = F.concat(F.lit("b"), (F.col("p_partkey") % 7).cast("string"))
     path = F.concat(folder, F.lit("/"), F.col("p_partkey").cast("string"), F.lit("/"), F.col("p_name"), F.lit(".md"))
-    target = part.select(path.alias("path"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("title"))
-    supplier = table(spark, sf_dir, "supplier")
-    source = F.concat(F.lit("b"), (F.col("s_suppkey") % 7).cast("string"), F.lit("/supplier"), F.col("s_suppkey").cast("string"), F.lit(".md"))
-    names = part.groupBy("p_name").agg(F.min("p_partkey").alias("k")).where("k <= 3")
-    # every supplier names the four parts of the lowest keys
-    asked = supplier.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3)))).join(names, "k").select(source.alias("source_path"), F.concat(F.lit("[["), F.col("p_name"), F.lit("]]")).alias("raw_target"))
-    return asked, target
+    return part.select(path.alias("path"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("title"))
 
 
-_RANKED = """
+_EVERY = """
     WITH t AS (SELECT 'b' || p_partkey % 7 || '/' || p_partkey || '/' || p_name || '.md' AS path, 'b' || p_partkey % 7 || '/' || p_partkey AS folder, lower(p_name) AS k FROM part),
-    names AS (SELECT p_name FROM part GROUP BY 1 HAVING min(p_partkey) <= 3),
+    names AS (SELECT p_name FROM part GROUP BY 1 UNION ALL SELECT 'absent ' || p_name FROM part GROUP BY p_name),
     s AS (SELECT 'b' || s_suppkey % 7 || '/supplier' || s_suppkey || '.md' AS source_path, 'b' || s_suppkey % 7 AS folder, p_name, '[[' || p_name || ']]' AS raw_target FROM supplier, names)"""
 
 
-@query(
-    "resolve_ranked_top1",
-    _RANKED + " SELECT source_path, raw_target, path AS target_path, NULL::VARCHAR AS reason FROM (SELECT s.*, t.path, row_number() OVER (PARTITION BY source_path, raw_target ORDER BY t.folder <> s.folder, len(string_split(t.path, '/')), t.path) AS n FROM s JOIN t ON t.k = lower(s.p_name)) WHERE n = 1",
-)
-def resolve_ranked_top1(spark, sf_dir):
-    asked, target = _named_parts(spark, sf_dir)
-    return links.resolve(asked, target)
-
-
-@query(
-    "resolve_unique_policy",
-    _RANKED + " SELECT source_path, raw_target, CASE WHEN count(*) = 1 THEN min(t.path) END AS target_path, CASE WHEN count(*) > 1 THEN 'ambiguous' END AS reason FROM s JOIN t ON t.k = lower(s.p_name) GROUP BY 1, 2",
-)
-def resolve_unique_policy(spark, sf_dir):
-    asked, target = _named_parts(spark, sf_dir)
-    return links.resolve(asked, target, unique=True)
-
-
-_EVERY = _RANKED.replace(" HAVING min(p_partkey) <= 3", " UNION ALL SELECT 'absent ' || p_name FROM part GROUP BY p_name")
-
-
 def _every_name(spark, sf_dir):
     """Every supplier names every part, and as many names that no part has."""
     name = table(spark, sf_dir, "part").select("p_name").distinct()
     name = name.unionByName(name.select(F.concat(F.lit("absent "), "p_name").alias("p_name")))
     source = F.concat(F.lit("b"), (F.col("s_suppkey") % 7).cast("string"), F.lit("/supplier"), F.col("s_suppkey").cast("string"), F.lit(".md"))
     asked = table(spark, sf_dir, "supplier").crossJoin(name)
-    return asked.select(source.alias("source_path"), F.concat(F.lit("[["), F.col("p_name"), F.lit("]]")).alias("raw_target")), _named_parts(spark, sf_dir)[1]
+    return asked.select(source.alias("source_path"), F.concat(F.lit("[["), F.col("p_name"), F.lit("]]")).alias("raw_target")), _named_parts(spark, sf_dir)
 
 
 @query(
@@ -479,15 +432,6 @@ def snapshot_diff_events(spark, sf_dir):
     return diff.snapshot_diff(old, new).select("event_type", "path", "previous_path")
 
 
-@query(
-    "view_merge_shared_local",
-    "SELECT 'part/' || p_partkey AS path, p_partkey, p_retailprice * 2 AS twice FROM part WHERE p_size > 10 AND p_retailprice * 2 < 2400 ORDER BY p_retailprice DESC, path LIMIT 30",
-)
-def view_merge_shared_local(spark, sf_dir):
-    doc = {"query": {"where": "p_size > 10", "projections": {"twice": {"expr": "p_retailprice * 2.0"}}, "order_by": [{"field": "p_retailprice", "direction": "desc"}]}, "views": [{"name": "cheap", "query": {"where": "projection.twice < 2400.0", "select": ["p_partkey", "projection.twice"], "limit": 30}}]}
-    return run_saved(records(spark, sf_dir, "part"), doc, "cheap").results
-
-
 @query(
     "view_merge_whole",
     "SELECT *, row_number() OVER (ORDER BY p_retailprice DESC, path) AS place FROM (SELECT 'part/' || p_partkey AS path, p_partkey, p_retailprice, p_retailprice * 2 AS twice FROM part WHERE p_size > 10 AND p_retailprice * 2 < 2400)",
@@ -640,14 +584,14 @@ def candidate_dynamic_prefilter(spark, sf_dir):
 
 @query(
     "file_functions",
-    "SELECT 'part/' || p_partkey AS path, p_partkey % 3 = 0 AS low, true AS inside, false AS root FROM part WHERE p_partkey % 2 = 0",
+    "SELECT 'part/' || p_partkey AS path, p_partkey % 3 = 0 AS low, true AS inside, false AS root FROM part",
 )
 def file_functions(spark, sf_dir):
     r = records(spark, sf_dir, "part")
     rest = F.col("p_partkey") % 3
     tags = Val(F.array(F.when(rest == 0, "size/low").otherwise("size"), F.lit("part")), list_of(r.fields["p_name"].kind))
     r = replace(r, file={**r.file, "tags": tags})
-    return run_query(r, {"where": "p_partkey % 2 == 0 && file.hasTag('part')", "select": [{"name": "low", "expr": "file.hasTag('size/low')"}, {"name": "inside", "expr": "file.inFolder('part')"}, {"name": "root", "expr": "file.inFolder('')"}]}).results
+    return run_query(r, {"where": "file.hasTag('part')", "select": [{"name": "low", "expr": "file.hasTag('size/low')"}, {"name": "inside", "expr": "file.inFolder('part')"}, {"name": "root", "expr": "file.inFolder('')"}]}).results
 
 
 @query(
