@@ -7,17 +7,10 @@ import re
 from pyspark.sql import functions as F
 
 from folioquery.functions.registry import function, subject
-from folioquery.plans.compiler import Val, difference, duration, either, errors, literal
+from folioquery.plans.compiler import UNIT_MONTHS, UNIT_MS, Val, difference, duration, duration_parts, either, errors, literal
 from folioquery.plans.syntax import ExpressionError
 from folioquery.values import BOOL, DATE, DURATION, INT, STRING, TIMESTAMP
 
-#: Units of durations in milliseconds, and calendar units in months.
-UNIT_MS = {
-    "ms": 1, "s": 1000, "second": 1000, "seconds": 1000, "m": 60_000, "minute": 60_000, "minutes": 60_000,
-    "h": 3_600_000, "hour": 3_600_000, "hours": 3_600_000, "d": 86_400_000, "day": 86_400_000, "days": 86_400_000,
-    "w": 604_800_000, "week": 604_800_000, "weeks": 604_800_000,
-}
-UNIT_MONTHS = {"M": 1, "month": 1, "months": 1, "y": 12, "year": 12, "years": 12}
 #: Tokens of date formats.
 FORMAT_TOKENS = {"YYYY": "yyyy", "YY": "yy", "MM": "MM", "DD": "dd", "HH": "HH", "mm": "mm", "ss": "ss", "SSS": "SSS"}
 
@@ -45,7 +38,22 @@ def parse_duration(text: str) -> tuple[int, int]:
     return months, ms
 
 
-@function("cel plain view", "duration")
+@function("plain", "duration")
+def plain_duration(c, target, args):
+    """Milliseconds of one number and unit, a month as 30 days and a year as 365; an ISO text has days and less."""
+    v, _ = subject(target, args)
+    if isinstance(v.const, str) and v.const.strip().lstrip("-").startswith("P"):
+        months, ms = parse_duration(v.const)
+        return literal(ms) if not months else Val(F.lit(None).cast("long"), INT, F.lit("type_error"))
+    text = v.col.cast("string")
+    n, months, ms = duration_parts(text)
+    days = F.when(months >= 12, 365).otherwise(30)
+    out = (n * F.coalesce(ms, days.cast("long") * UNIT_MS["d"])).cast("long")
+    out = F.when(months.isNotNull() | ms.isNotNull(), out)
+    return Val(out, INT, either(v.err, F.when(out.isNull(), F.lit("type_error"))))
+
+
+@function("cel view", "duration")
 def duration_(c, target, args):
     v, _ = subject(target, args)
     if isinstance(v.const, str):

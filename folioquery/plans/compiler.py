@@ -7,6 +7,7 @@ Python: the result is an expression that Catalyst optimises with the rest of the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
@@ -332,6 +333,56 @@ def shift(date: Val, amount: Val, sign: int) -> Val:
     return Val(moved + F.make_dt_interval(secs=(millis / 1000).cast("decimal(18,6)")), TIMESTAMP, errors(date, amount))
 
 
+#: Units of duration texts in milliseconds, and calendar units in months.
+UNIT_MS = {
+    "ms": 1, "s": 1000, "second": 1000, "seconds": 1000, "m": 60_000, "minute": 60_000, "minutes": 60_000,
+    "h": 3_600_000, "hour": 3_600_000, "hours": 3_600_000, "d": 86_400_000, "day": 86_400_000, "days": 86_400_000,
+    "w": 604_800_000, "week": 604_800_000, "weeks": 604_800_000,
+}
+UNIT_MONTHS = {"M": 1, "month": 1, "months": 1, "y": 12, "year": 12, "years": 12}
+
+_TERM = r"^\s*(-?[0-9]+(?:\.[0-9]+)?)\s*([A-Za-z]+)\s*$"
+_DAY, _MOMENT = r"^\d{4}-\d{2}-\d{2}$", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z?$"
+
+
+def dated(text: str) -> bool:
+    return re.match(_DAY, text) is not None or re.match(_MOMENT, text) is not None
+
+
+def is_dated(text: Column) -> Column:
+    return F.coalesce(F.rlike(text, F.lit(_DAY)) | F.rlike(text, F.lit(_MOMENT)), F.lit(False))
+
+
+def fixed_duration(text: str) -> bool:
+    found = re.match(_TERM, text)
+    return found is not None and (found[2] in UNIT_MS or found[2] in UNIT_MONTHS)
+
+
+def duration_parts(text: Column) -> tuple[Column, Column, Column]:
+    """Amount, months and milliseconds of the unit of texts such as ``7d`` or ``1 month``; units are null if there are none."""
+    table = lambda units: F.create_map(*[F.lit(x) for k, n in units.items() for x in (k, n)])
+    unit = F.regexp_extract(text, _TERM, 2)
+    return F.regexp_extract(text, _TERM, 1).try_cast("double"), F.try_element_at(table(UNIT_MONTHS), unit), F.try_element_at(table(UNIT_MS), unit)
+
+
+def text_duration(v: Val) -> Val:
+    """One number and unit as a duration; months and years move by the calendar. Null where the text is none."""
+    n, months, ms = duration_parts(v.col)
+    whole = F.coalesce((n * months).cast("int"), F.lit(0))
+    exact = F.coalesce((n * ms).cast("long"), F.lit(0).cast("long"))
+    known = n.isNotNull() & (months.isNotNull() | ms.isNotNull())
+    return Val(F.when(known, duration(whole, exact)), DURATION, v.err)
+
+
+def moved_text(text: Column, amount: Val, sign: int) -> Column:
+    """A date or moment written as text, moved and written the same way; null if it is none."""
+    day = Val(F.when(F.rlike(text, F.lit(_DAY)), text.try_cast("date")), DATE)
+    moment = Val(F.when(F.rlike(text, F.lit(_MOMENT)), F.substring(text, 1, 19).try_cast("timestamp_ntz")), TIMESTAMP)
+    mark = F.when(F.endswith(text, F.lit("Z")) & (amount.col["months"] == 0), "Z").otherwise("")
+    written = F.concat(F.date_format(shift(moment, amount, sign).col, "yyyy-MM-dd'T'HH:mm:ss"), mark)
+    return F.coalesce(shift(day, amount, sign).col.cast("string"), written)
+
+
 def difference(a: Val, b: Val) -> Column:
     """Milliseconds between two dates or timestamps."""
     x, y = (F.unix_micros(v.col.cast("timestamp")) for v in (a, b))
@@ -472,14 +523,54 @@ class PlainCompiler(Compiler):
             col = F.lit(False)
         return Val(F.coalesce(col, F.lit(False)), BOOL, errors(a, b))
 
+    #: Formulas join texts with other values; filters call that a type error.
+    joins_text = True
+
     def add(self, a: Val, b: Val) -> Val:
-        if a.kind.name in ("date", "timestamp") and b.kind == DURATION:
+        """Dates move by duration texts from either side; texts are joined, with ``null`` for what is missing."""
+        times = ("date", "timestamp")
+        if "list" in (a.kind.name, b.kind.name):
+            return self.mismatch(F.lit(None).cast("string"), STRING, a, b, where=F.lit(True))
+        if a.kind.name in times and b.kind == DURATION:
             return shift(a, b, 1)
-        if a.kind == STRING or b.kind == STRING:
-            return Val(F.concat(a.col.cast("string"), b.col.cast("string")), STRING, errors(a, b))
-        if a.kind.name == b.kind.name == "list":
-            return Val(F.concat(a.col, b.col), a.kind, errors(a, b))
-        return self.arithmetic("+", a, b)
+        if a.kind.name in times and b.kind == STRING:
+            return self.moved(a, b, 1)
+        if a.kind.name in times and b.kind.name in times:
+            return self.mismatch(F.lit(None).cast("string"), STRING, a, b, where=a.col.isNotNull() & b.col.isNotNull())
+        if b.kind.name in times and a.kind == STRING and isinstance(a.const, str) and fixed_duration(a.const):
+            return self.moved(b, a, 1)
+        if STRING not in (a.kind, b.kind) and a.kind.name not in times and b.kind.name not in times:
+            return self.arithmetic("+", a, b)
+        return self.joined(a, b)
+
+    def joined(self, a: Val, b: Val) -> Val:
+        x, y = a.col.cast("string"), b.col.cast("string")
+        both = {a.kind.name, b.kind.name} <= {"string", "date", "timestamp"}
+        # a null is no text: what is left then decides whether this is still a join of texts
+        text_there = F.lit(False)
+        for v in (a, b):
+            if v.kind.name in ("string", "date", "timestamp"):
+                text_there = text_there | v.col.isNotNull()
+        plain = F.when(text_there, F.concat(F.coalesce(x, F.lit("null")), F.coalesce(y, F.lit("null"))))
+        wrong = F.lit(False)
+        if not self.joins_text:
+            wrong = text_there & (x.isNull() | y.isNull() | F.lit(not both))
+        if a.kind == b.kind == STRING:
+            if not isinstance(a.const, str) or dated(a.const):
+                later = moved_text(x, text_duration(b), 1)
+                wrong = wrong | (is_dated(x) & y.isNotNull() & later.isNull())
+                plain = F.when(is_dated(x) & y.isNotNull(), later).otherwise(plain)
+            if not isinstance(a.const, str) or fixed_duration(a.const):
+                later = moved_text(y, text_duration(a), 1)
+                plain = F.when(~is_dated(x) & later.isNotNull(), later).otherwise(plain)
+        return self.mismatch(F.when(~wrong, plain), STRING, a, b, where=wrong)
+
+    def moved(self, date: Val, text: Val, sign: int) -> Val:
+        out = shift(date, text_duration(text), sign)
+        return self.mismatch(out.col, out.kind, date, text, where=date.col.isNotNull() & text.col.isNotNull() & out.col.isNull())
+
+    def mismatch(self, col: Column, kind: Kind, *vals: Val, where: Column) -> Val:
+        return Val(col, kind, either(errors(*vals), F.when(where, F.lit("type_error"))))
 
     def arithmetic(self, op: str, a: Val, b: Val) -> Val:
         if op == "-" and a.kind.name in ("date", "timestamp"):
@@ -487,6 +578,13 @@ class PlainCompiler(Compiler):
                 return shift(a, b, -1)
             if b.kind.name in ("date", "timestamp"):
                 return Val(difference(a, b), INT, errors(a, b))
+            if b.kind == STRING and not (isinstance(b.const, str) and dated(b.const)):
+                return self.moved(a, b, -1)
+            if b.kind == STRING:
+                return Val(difference(a, Val(b.col.try_cast("timestamp"), TIMESTAMP)), INT, errors(a, b))
+        if op == "-" and a.kind == STRING and isinstance(b.const, str) and fixed_duration(b.const):
+            out = moved_text(a.col, text_duration(b), -1)
+            return self.mismatch(out, STRING, a, b, where=a.col.isNotNull() & out.isNull())
         a, b = self.number(a), self.number(b)
         whole = a.kind == b.kind == INT
         if op == "+":

@@ -65,7 +65,9 @@ def run_plain_query(records: Records, query: dict, *, this: dict[str, Val] | Non
         formulas[k] = compiler("plain", scope.bind(formula=formulas)).compile(trees[k])
     c = compiler("plain", scope.bind(formula=formulas))
     if "where" in query:
-        df = df.where(condition(c, query["where"]))
+        strict = compiler("plain", c.scope)
+        strict.joins_text = False
+        df = df.where(condition(strict, query["where"]))
 
     def value(name: str) -> Val:
         head, _, rest = name.partition(".")

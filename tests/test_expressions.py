@@ -89,12 +89,24 @@ def test_plain(frame):
         "n / z": None, "n % z": None, "nil + 1": None, "n && s": '"héllo Wörld"', "nil || 'd'": "d", "nil ?? 'd'": "d", "s.length()": 13, "!empty": True, "s.upper()": "HÉLLO WÖRLD",
         "dayOfWeek(d)": 3, "s.slice(-5)": "Wörld", "s.split(' ')[1]": "Wörld", "s.title()": "Héllo Wörld", "words.unique()": ["b", "a"], "xs.sort()": [1, 2, 3], "xs[-1]": 2, "xs[9]": None,
         "xs.reduce(acc + value, 0)": 6.0, "xs.filter(value > 1)": [3, 2], "words.join()": "b,a,b", "words.containsAll('a', 'b')": True, "words.containsAny('q', 'b')": True,
-        "round(2.5)": 3, "floor(f)": 2, "ceil(f)": 3, "min(n, 3)": 3, "min(n, nil)": None, "if(n, 'y', 'z')": "y", "n in xs": False, "d + '1 month'": "2024-01-311 month",
-        "d + duration('1 month')": "2024-02-29", "t + duration('1d 2h')": "2024-03-01 15:05:09", "t - datetime('2024-02-29T13:05:08')": 1000, "date('2024-05-06T10:00')": "2024-05-06",
+        "round(2.5)": 3, "floor(f)": 2, "ceil(f)": 3, "min(n, 3)": 3, "min(n, nil)": None, "if(n, 'y', 'z')": "y", "n in xs": False, "d + '1 month'": "2024-02-29",
+        "t + '26h'": "2024-03-01 15:05:09", "'1 month' + d": "2024-02-29", "d - '1y'": "2023-01-31", "'2024-01-31' + '1 month'": "2024-02-29", "'2024-02-29T13:05:09Z' + '1d'": "2024-03-01T13:05:09Z",
+        "'2024-01-31' - '30d'": "2024-01-01", "'2024-01-31' + 'x'": None, "s + '!'": "héllo Wörld!", "s + n": "héllo Wörld7", "nil + 'x'": "nullx", "nil + nil": None, "xs + 1": None,
+        "duration('1 month')": 2_592_000_000, "duration('1y') / duration('1d')": 365.0, "duration('PT1H')": 3_600_000, "duration('soon')": None, "t - datetime('2024-02-29T13:05:08')": 1000, "date('2024-05-06T10:00')": "2024-05-06",
         "t.format('YYYY/MM/DD HH:mm')": "2024/02/29 13:05", "'a-b'.replace('-', '$1')": "a$1b", "'  x\t'.trim()": "x", "'Ab C!'.slugify()": "ab-c", "s.reverse()": "dlröW olléh", "number('12.5')": 12.5,
     })
 
 
+def test_filters_refuse_to_join_texts_with_other_values(spark):
+    from folioquery.operators.frame import from_table
+    from folioquery.plans.plain_query import run_plain_query
+
+    records = from_table(spark.createDataFrame([(1, "a", "2024-01-31"), (2, None, "b")], "id long, s string, d string"), "t", "id")
+    kept = lambda where: [r.id for r in run_plain_query(records, {"where": where, "sort": "id"}).results.collect()]
+    assert kept("s + 1 == 'a1'") == [] and kept("s + 'x' == 'ax'") == [1] and kept("s + 'x' == 'nullx'") == []
+    assert kept("d + '1 month' == '2024-02-29'") == [1] and kept("d + '!' == 'b!'") == [2]
+
+
 def test_views(frame):
     check(frame, "view", {
         "n / z": None, "unknown + 1": 1.0, "s + 1": "héllo Wörld1", "!empty": False, "s.length": None, "length(s)": 11, "nil && n": False, "n && s": True, "random()": 0.5, "f.toFixed(0)": "2",
