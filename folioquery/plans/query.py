@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioquery.operators.frame import Records
 from folioquery.operators.grouping import Summary, grouped
 from folioquery.plans.compiler import Scope, Val, clock, compiler
+from folioquery.plans.hops import Hops
 from folioquery.plans.syntax import CEL, ExpressionError, Name, children, in_order, parse, references
 from folioquery.values import sort_keys
 
@@ -50,11 +51,12 @@ def roots(node) -> set[str]:
     return own.union(*(roots(c) for c in children(node)))
 
 
-def run_query(records: Records, query: dict, *, this: dict[str, Val] | None = None) -> Outcome:
+def run_query(records: Records, query: dict, *, this: dict[str, Val] | None = None, targets: Records | None = None) -> Outcome:
     """Compile a query object over records; nothing runs until a frame is used.
 
     Keys as in KEYS; those that start with ``x-`` are ignored, others refused. ``where`` keeps
     only true; a row whose expression fails gets null there and a row in ``diagnostics``.
+    Links followed with ``asFile()`` lead to ``targets``, or to the records themselves.
     """
     for k in query:
         if k not in KEYS and not k.startswith("x-"):
@@ -84,25 +86,32 @@ def run_query(records: Records, query: dict, *, this: dict[str, Val] | None = No
     projections = query.get("projections", {})
     sources = {k: p["expr"] if isinstance(p, dict) else p for k, p in projections.items()}
     trees = {k: parse(s, CEL) for k, s in sources.items()}
+    where = parse(query["where"], CEL) if "where" in query else None
+    picked = [parse(i["expr"], CEL) if isinstance(i, dict) and "expr" in i else None for i in query.get("select", [])]
+    hops = Hops(records, targets or records, df, [t for t in (*trees.values(), where, *picked) if t is not None])
     projected: dict[str, Val] = {}
     for k in in_order({k: references(t, "projection") for k, t in trees.items()}):
-        v = compiler("cel", scope.bind(projection=projected)).compile(trees[k])
+        inner = scope.bind(projection=projected)
+        tree = hops.lower(trees[k], inner)
+        v = compiler("cel", inner.bind(**hops.bound)).compile(tree)
         projected[k] = evaluate("query_projection", f"projections.{k}", v)
     scope = scope.bind(projection=projected)
-    cel = compiler("cel", scope)
+    where = hops.lower(where, scope)
+    picked = [hops.lower(t, scope) for t in picked]
+    cel, df = compiler("cel", scope.bind(**hops.bound)), hops.df
 
     before = df
-    if "where" in query:
-        v = evaluate("query_filter", "where", cel.text(query["where"]))
+    if where is not None:
+        v = evaluate("query_filter", "where", cel.compile(where))
         df = df.where(cel.truth(v))
 
     names = [output_name(i) for i in query.get("select", [])]
     if twice := {n for n in names if names.count(n) > 1}:
         raise ExpressionError(f"two outputs are named {sorted(twice)[0]}", "invalid_query")
     chosen: dict[str, Val] = {}
-    for item, name in zip(query.get("select", []), names, strict=True):
-        if isinstance(item, dict) and "expr" in item:
-            chosen[name] = evaluate("query_selection", f"select.{name}", cel.text(item["expr"]))
+    for item, name, tree in zip(query.get("select", []), names, picked, strict=True):
+        if tree is not None:
+            chosen[name] = evaluate("query_selection", f"select.{name}", cel.compile(tree))
         else:
             chosen[name] = lookup(item["field"] if isinstance(item, dict) else item, records, projected, chosen)
 

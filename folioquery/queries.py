@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioquery.operators import diff, links, paging, quality
-from folioquery.operators.frame import Records, from_table
+from folioquery.operators.frame import Records, from_table, path_facts
 from folioquery.operators.types import Field, TypeDef, classify, with_coercion, with_computed, with_defaults
 from folioquery.plans.compiler import Scope, Val, compiler
 from folioquery.plans.plain_query import run_plain_query
 from folioquery.plans.query import run_query
 from folioquery.plans.views import run_saved, run_view
 from folioquery.streaming import events as ev
-from folioquery.values import DYNAMIC, list_of
+from folioquery.values import DYNAMIC, STRING, kind_of, list_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -323,8 +323,8 @@ def array_library(spark, sf_dir):
 def duration_arithmetic(spark, sf_dir):
     r = records(spark, sf_dir, "orders")
     c = compiler("plain", Scope(dict(r.fields), r.bindings()))
-    kept = r.df.where(c.truth(c.text("o_orderdate - duration('1 month') > datetime('1995-01-01T00:00:00')")))
-    return kept.select(r.path.alias("path"), c.text("o_orderdate + duration('2d 3h')").col.alias("due"), c.text("o_orderdate - datetime('1990-01-01')").col.alias("age_ms"))
+    kept = r.df.where(c.truth(c.text("o_orderdate - '1 month' > datetime('1995-01-01T00:00:00')")))
+    return kept.select(r.path.alias("path"), c.text("o_orderdate + '51h'").col.alias("due"), c.text("o_orderdate - datetime('1990-01-01')").col.alias("age_ms"))
 
 
 @query(
@@ -347,6 +347,42 @@ def link_traverse_two_hop(spark, sf_dir):
     return two.groupBy(F.col("nation_n_name").alias("n_name")).agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+def _buyers(spark, sf_dir) -> tuple[Records, Records]:
+    """Orders that link to their customer, and customers and nations, of which customers link to their nation."""
+    orders, customer, nation = (records(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    link = lambda t, c: F.concat(F.lit(f"/{t}/"), F.col(c).cast("string"))
+    orders = orders.with_fields(buyer=Val(link("customer", "o_custkey"), STRING))
+    paths = [r.df.select("*", r.path.alias("path"), r.types.alias("types")) for r in (customer, nation)]
+    both = paths[0].withColumn("home", link("nation", "c_nationkey")).unionByName(paths[1], allowMissingColumns=True)
+    fields = {f.name: Val(F.col(f.name), kind_of(f.dataType)) for f in both.schema.fields if f.name not in ("path", "types")}
+    return orders, Records(both, F.col("path"), fields, fields, F.col("types"), path_facts(F.col("path")))
+
+
+@query(
+    "as_file_one_hop",
+    f"SELECT {_ORDER}, 'customer/' || c_custkey AS target, c_mktsegment AS segment FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 5000",
+)
+def as_file_one_hop(spark, sf_dir):
+    orders, targets = _buyers(spark, sf_dir)
+    spec = {"where": "buyer.asFile().c_acctbal > 5000.0", "select": [{"name": "target", "expr": "buyer.asFile().file.path"}, {"name": "segment", "expr": "buyer.asFile().c_mktsegment"}]}
+    return run_query(orders, spec, targets=targets).results
+
+
+@query(
+    "as_file_two_hops_typed",
+    f"SELECT {_ORDER}, n_name AS nation, NULL::VARCHAR AS wrong, o_custkey % 2 = 0 AS odd_link FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey",
+)
+def as_file_two_hops_typed(spark, sf_dir):
+    """Two hops; a hop whose target has another type; a link made in the expression that leads nowhere half of the time."""
+    orders, targets = _buyers(spark, sf_dir)
+    spec = {"select": [
+        {"name": "nation", "expr": "buyer.asFile().home.asFile({'types': ['nation']}).n_name"},
+        {"name": "wrong", "expr": "buyer.asFile({'types': ['nation']}).c_name"},
+        {"name": "odd_link", "expr": "(o_custkey % 2 == 0 ? buyer : '[[nobody]]').asFile() != null"},
+    ]}
+    return run_query(orders, spec, targets=targets).results
+
+
 @query(
     "backlinks",
     "SELECT 'customer/' || o_custkey AS target_path, list('orders/' || o_orderkey ORDER BY 'orders/' || o_orderkey) AS sources, count(*) AS n_sources FROM orders GROUP BY 1",
