@@ -578,15 +578,25 @@ def batch_apply(spark, sf_dir):
     return quality.apply_batch(n, "n_nationkey", changes.unionByName(made))[0]
 
 
-@query("page_links_extract", None)
+#: A link's target in raw markup: in double or single quotes, or bare.
+_HREF = r"""(?i)\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+@query(
+    "page_links_extract",
+    "SELECT page_id, url, unnest(list_distinct(list_transform(regexp_extract_all(html, '" + _HREF.replace("'", "''") + "', 1), lambda x: regexp_replace(x, '^[\"'']|[\"'']$', '', 'g')))) AS target FROM pages",
+)
 def page_links_extract(spark, sf_dir):
     """Links of the raw pages, distinct by page, as edges."""
     pages = table(spark, sf_dir, "pages")
-    hrefs = F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))
+    hrefs = F.transform(F.regexp_extract_all("html", F.lit(_HREF), F.lit(1)), lambda x: F.regexp_replace(x, "^[\"']|[\"']$", ""))
     return pages.select("page_id", "url", F.explode(F.array_distinct(hrefs)).alias("target"))
 
 
-@query("tags_extract", None)
+@query(
+    "tags_extract",
+    "SELECT p_partkey, [replace(p_type, ' ', '/')] AS tags, ['[[' || p_name || '|it]]', 'x/' || p_brand || '.md'] AS links FROM part",
+)
 def tags_extract(spark, sf_dir):
     """Tags and links of bodies: link text is made from columns, since the given texts have none."""
     part = table(spark, sf_dir, "part")
@@ -594,6 +604,99 @@ def tags_extract(spark, sf_dir):
     return part.select("p_partkey", links.body_tags(body).alias("tags"), F.transform(links.body_links(body), lambda x: x["raw_target"]).alias("links"))
 
 
+@query(
+    "string_library_more",
+    f"""SELECT {_CUST}, c_name AS trimmed, c_name AS left_trimmed, c_name AS right_trimmed, contains(c_name, 'Cust') AND contains(c_name, '1') AS has_all, contains(c_mktsegment, 'BUILD') OR contains(c_mktsegment, 'MACH') AS has_any,
+    ends_with(c_name, '7') AS ends, reverse(c_name) AS backwards, lower(replace(c_name, '#', '-')) AS slug, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS titled FROM customer""",
+)
+def string_library_more(spark, sf_dir):
+    return _columns(spark, sf_dir, "customer", "plain", {
+        "trimmed": "('  ' + c_name + ' ').trim()", "left_trimmed": "('  ' + c_name).trimStart()", "right_trimmed": "(c_name + '  ').trimEnd()", "has_all": "c_name.containsAll('Cust', '1')",
+        "has_any": "c_mktsegment.containsAny('BUILD', 'MACH')", "ends": "c_name.endsWith('7')", "backwards": "c_name.reverse()", "slug": "c_name.slugify()", "titled": "c_mktsegment.lower().title()",
+    })
+
+
+@query(
+    "view_text_library",
+    f"SELECT {_CUST}, '&lt;' || c_name || '&gt;' AS escaped, c_custkey::VARCHAR AS fixed, replace(c_name, '0', 'o') AS every, contains(lower(c_mktsegment), 'build') AS hit FROM customer",
+)
+def view_text_library(spark, sf_dir):
+    return _columns(spark, sf_dir, "customer", "view", {"escaped": "('<' + c_name + '>').escapeHTML()", "fixed": "c_custkey.toFixed(0)", "every": "c_name.replace(/0/g, 'o')", "hit": "/build/i.matches(c_mktsegment)"})
+
+
+@query(
+    "list_library_more",
+    """WITH t AS (SELECT 'part/' || p_partkey AS path, string_split(p_type, ' ') AS w FROM part)
+    SELECT path, list_sort(w) AS sorted, list_sort(list_distinct(w)) AS once, w[2:2] AS middle, w[1] AS head, list_transform(w, lambda x: lower(x)) AS lowered, list_sum(list_transform(w, lambda x: strlen(x)))::DOUBLE AS letters FROM t""",
+)
+def list_library_more(spark, sf_dir):
+    words = "p_type.split(' ')"
+    return _columns(spark, sf_dir, "part", "plain", {
+        "sorted": f"{words}.sort()", "once": "(p_type + ' ' + p_type).split(' ').unique().sort()", "middle": f"{words}.slice(1, 2)", "head": f"{words}.first()",
+        "lowered": f"{words}.map(value.lower())", "letters": f"{words}.map(value.length()).reduce(acc + value, 0)",
+    })
+
+
+@query(
+    "list_macros",
+    "SELECT 'part/' || p_partkey AS path, p_size > 5 AS every, p_size > 40 AS some, p_size <= 15 AS one, [p_size * 2, 6]::BIGINT[] AS doubled, (p_size + 3)::DOUBLE AS total, (p_size + 3) / 2 AS mean FROM part",
+)
+def list_macros(spark, sf_dir):
+    return _columns(spark, sf_dir, "part", "cel", {
+        "every": "[p_size, 10, 20].all(x, x > 5)", "some": "[p_size, 3].exists(x, x > 40)", "one": "[p_size, 10, 20].exists_one(x, x > 15)", "doubled": "[p_size, 3].map(x, x * 2)",
+        "total": "[p_size, 3].sum()", "mean": "[p_size, 3].mean()",
+    })
+
+
+@query(
+    "date_parts",
+    "SELECT 'events/' || event_id AS path, hour(ts) AS h, minute(ts) AS m, second(ts) AS s, date_trunc('day', ts)::TIMESTAMP AS start, (ts::DATE + INTERVAL 1 YEAR)::DATE AS next_year FROM events",
+)
+def date_parts(spark, sf_dir):
+    out = _columns(spark, sf_dir, "events", "cel", {"h": "hour(ts)", "m": "minute(ts)", "s": "second(ts)", "start": "startOfDay(ts)", "next_year": "addYears(date(ts), 1)"})
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("date_texts", "SELECT 'events/' || event_id AS path, strftime(ts, '%H:%M:%S') AS clock, strftime(ts, '%Y/%m/%d %H:%M') AS shown FROM events")
+def date_texts(spark, sf_dir):
+    return _columns(spark, sf_dir, "events", "plain", {"clock": "time(ts)", "shown": "ts.format('YYYY/MM/DD HH:mm')"})
+
+
+@query(
+    "legacy_text_addition",
+    f"""SELECT {_ORDER}, strftime(o_orderdate::DATE + INTERVAL 1 MONTH, '%Y-%m-%d') AS later, strftime(o_orderdate::DATE - 10, '%Y-%m-%d') AS sooner, NULL::VARCHAR AS wrong,
+    o_orderpriority || o_custkey AS joined, 2592000.0::DOUBLE AS month FROM orders""",
+)
+def legacy_text_addition(spark, sf_dir):
+    """Dates written as text move by durations; a date and another text is an error, null here."""
+    r = records(spark, sf_dir, "orders")
+    r = r.with_fields(due=Val(F.date_format("o_orderdate", "yyyy-MM-dd"), STRING))
+    c = compiler("plain", Scope(dict(r.fields), r.bindings()))
+    exprs = {"later": "due + '1 month'", "sooner": "due - '10 days'", "wrong": "due + o_orderpriority", "joined": "o_orderpriority + o_custkey", "month": "duration('1 month') / 1000"}
+    return r.df.select(r.path.alias("path"), *[c.text(x).col.alias(n) for n, x in exprs.items()])
+
+
+@query(
+    "match_operators",
+    f"""SELECT {_CUST}, list_filter([CASE WHEN c_mktsegment = 'BUILDING' AND c_acctbal < 5000 THEN 'a' END, CASE WHEN c_mktsegment <> 'BUILDING' AND c_acctbal > 0 THEN 'b' END,
+    CASE WHEN contains(c_name, '9') AND c_acctbal <= 9000 THEN 'c' END, CASE WHEN starts_with(c_mktsegment, 'M') OR false THEN 'd' END, CASE WHEN regexp_matches(c_name, '[13]$') THEN 'e' END, 'f'], lambda x: x IS NOT NULL) AS types FROM customer""",
+)
+def match_operators(spark, sf_dir):
+    where = {
+        "a": {"c_mktsegment": "BUILDING", "c_acctbal": {"lt": 5000}}, "b": {"c_mktsegment": {"neq": "BUILDING"}, "c_acctbal": {"gt": 0}}, "c": {"c_name": {"contains": "9"}, "c_acctbal": {"lte": 9000}},
+        "d": {"c_mktsegment": {"startsWith": "M"}}, "e": {"c_name": {"matches": "[13]$"}}, "g": {"nothing": {"exists": True}},
+    }
+    types = {k: TypeDef(k, match={"where": w}) for k, w in where.items()}
+    types["f"] = TypeDef("f", match={"fields_present": ["c_name", "c_custkey"]})
+    r = classify(records(spark, sf_dir, "customer"), types)
+    return r.df.select(r.path.alias("path"), r.types.alias("types"))
+
+
+@query("legacy_folder_default_order", f"SELECT *, row_number() OVER (ORDER BY path) AS place FROM (SELECT {_ORDER}, o_custkey FROM orders)")
+def legacy_folder_default_order(spark, sf_dir):
+    return numbered(run_plain_query(records(spark, sf_dir, "orders"), {"folder": "orders"}).results.select("path", "o_custkey"))
+
+
 @query(
     "contract_projection",
     "SELECT 'customer/' || c_custkey AS path, c_custkey AS id, c_name AS label, c_acctbal AS balance FROM customer",
