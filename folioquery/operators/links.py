@@ -207,11 +207,15 @@ def _explain(links: DataFrame, picked: DataFrame) -> DataFrame:
 def traverse(df: DataFrame, link: str, targets: DataFrame, key: str, prefix: str) -> DataFrame:
     """One static hop: each row with the columns of the record its link leads to, or nulls.
 
-    A left join on a unique key: rows are neither lost nor multiplied. Hops chain, one
-    call each; Spark picks the join, and broadcasts a side only from its own measured size.
+    Rows are neither lost nor multiplied: a key that several targets have leads to none of them.
+    Counting keys deals and sorts targets as the join needs them. Hops chain, one call each.
     """
-    named = targets.select(*[F.col(c).alias(f"{prefix}{c}") for c in targets.columns])
-    return df.join(named, df[link] == named[f"{prefix}{key}"], "left")
+    at = f"{prefix}{key}"
+    others = [c for c in targets.columns if c != key]
+    named = targets.select(F.col(key).alias(at), F.struct(F.lit(True).alias("__there"), *others).alias("__record"))
+    once = named.groupBy(at).agg(F.count(F.lit(1)).alias("__n"), F.any_value("__record").alias("__record")).where("__n = 1")
+    once = once.select(at, *[F.col("__record")[c].alias(f"{prefix}{c}") for c in others])
+    return df.join(once, df[link] == once[at], "left")
 
 
 def follow_each(df: DataFrame, key: str, links: str, targets: DataFrame, target_key: str, value: str, out: str) -> DataFrame:
