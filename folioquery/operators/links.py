@@ -124,6 +124,11 @@ def resolve(links: DataFrame, records: DataFrame, *, unique: bool = False) -> Da
     Links are told apart by source and text. Without target types, names are ranked before
     links join them; with types, each link is ranked over the records of its name.
     """
+    return _explain(links, pick(links, records, unique=unique))
+
+
+def pick(links: DataFrame, records: DataFrame, *, unique: bool = False) -> DataFrame:
+    """``resolve``, of those links alone that have a candidate: ``source_path``, ``raw_target``, ``target_path`` and ``why`` (null, ``missing``, ``ambiguous``)."""
     typed = "target_types" in links.columns and "types" in records.columns
     more = ["target_types"] if typed else []
     asked = links.select("source_path", "raw_target", *more).distinct()
@@ -146,7 +151,7 @@ def resolve(links: DataFrame, records: DataFrame, *, unique: bool = False) -> Da
     looked = asked.where("not external").select("source_path", "raw_target", "folder", *more, F.explode(F.when(F.col("full").isNull(), wanted).otherwise(paths)).alias("w"))
     keys = resolution_keys(records)
     if not typed:
-        return _explain(links, _pick_by_key(looked, keys, unique))
+        return _pick_by_key(looked, keys, unique)
     keys = keys.join(records.select("path", "types"), "path")
     found = looked.join(keys, (F.col("w.class") == keys["class"]) & (F.col("w.key") == keys["key"]))
     order = F.array_position(F.array(*[F.lit(c) for c in ("path", *CLASSES)]), F.col("w.class"))
@@ -166,34 +171,45 @@ def resolve(links: DataFrame, records: DataFrame, *, unique: bool = False) -> Da
         F.first("class").alias("class"), F.count_distinct("path").alias("n"), F.min("rank").alias("best"), F.min_by("ok", "rank").alias("ok")
     )
     alone = (F.col("n") == 1) | (F.col("class") == "path") | ((F.col("class") == "basename") & F.lit(not unique))
-    picked = picked.select(
+    return picked.select(
         "source_path", "raw_target", F.when(alone & F.col("ok"), F.col("best.path")).alias("target_path"),
         F.when(~alone, "ambiguous").when(~F.col("ok"), "missing").alias("why"),
     )
-    return _explain(links, picked)
 
 
-def _folder(path: str) -> Column:
+def _folder(path: str | Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
+def seat(path: Column) -> Column:
+    """One source path for all of a folder: links lead to the same records from it as from ``path``."""
+    folder = _folder(path)
+    return F.when(folder == "", "").otherwise(F.concat(folder, F.lit("/")))
+
+
 def _pick_by_key(looked: DataFrame, keys: DataFrame, unique: bool) -> DataFrame:
     """The pick without types: each name's count and best record are found once, and links join those.
 
     A name that many records share and many links use is one row here, and one more for each
-    folder that has it, so its links never meet its records pair by pair.
+    folder that has it (class ``near``), so its links never meet its records pair by pair.
     """
+    classes = ("path", "id", "near", "basename", "title")
+    near = (F.col("class") == "basename") & F.lit(not unique)
+
+    def placed(folder: Column) -> Column:
+        anywhere = F.array(F.struct("class", F.lit("").alias("within")))
+        return F.explode(F.when(near, F.concat(anywhere, F.array(F.struct(F.lit("near").alias("class"), folder.alias("within"))))).otherwise(anywhere))
+
     place = F.struct(F.size(F.split("path", "/")).alias("depth"), F.col("path").alias("path"))
-    one = keys.groupBy("class", "key").agg(F.count_distinct("path").alias("n"), F.min(place).alias("best"))
-    near = keys.where("class = 'basename'").groupBy(F.col("key").alias("near_key"), _folder("path").alias("near_folder")).agg(F.min(place).alias("near"))
-    asked = looked.select("source_path", "raw_target", "folder", "w.class", "w.key").withColumn("longer", F.length("key"))
-    found = asked.join(one, ["class", "key"])
-    by_name = F.when(F.col("class") == "basename", F.col("key"))
-    found = found.join(near, (by_name == near["near_key"]) & (found["folder"] == near["near_folder"]), "left")
-    order = F.array_position(F.array(*[F.lit(c) for c in ("path", *CLASSES)]), F.col("class"))
-    alone = (F.col("n") == 1) | (F.col("class") == "path") | ((F.col("class") == "basename") & F.lit(not unique))
-    target = F.when(alone, F.coalesce("near.path", "best.path"))
-    picked = found.groupBy("source_path", "raw_target").agg(F.min_by(F.struct(target.alias("path"), alone.alias("alone")), F.struct(order, "longer")).alias("p"))
+    keys = keys.select("key", "path", placed(_folder("path")).alias("c")).select("c.class", "key", "c.within", "path")
+    one = keys.groupBy("class", "key", "within").agg(F.min(place).alias("best"), F.max(place).alias("last"))
+    asked = looked.select("source_path", "raw_target", "folder", "w.class", "w.key")
+    asked = asked.select("source_path", "raw_target", "key", placed(F.col("folder")).alias("c")).select("source_path", "raw_target", "c.class", "key", "c.within")
+    found = asked.join(one, ["class", "key", "within"])
+    order = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("class"))
+    alone = (F.col("best") == F.col("last")) | F.col("class").isin("path", "near") | near
+    target = F.struct(F.when(alone, F.col("best.path")).alias("path"), alone.alias("alone"))
+    picked = found.groupBy("source_path", "raw_target").agg(F.min_by(target, F.struct(order, F.length("key"))).alias("p"))
     return picked.select("source_path", "raw_target", F.col("p.path").alias("target_path"), F.when(~F.col("p.alone"), "ambiguous").alias("why"))
 
 

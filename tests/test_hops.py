@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from folioquery.operators import links
 from folioquery.operators.frame import Records, path_facts
 from folioquery.operators.links import traverse
+from folioquery.plans import hops
 from folioquery.plans.compiler import Val
 from folioquery.plans.query import run_query
 from folioquery.plans.syntax import ExpressionError
@@ -65,3 +67,34 @@ def test_traverse_keeps_every_row_once(spark):
     targets = spark.createDataFrame([(10, "a"), (20, "b"), (20, "c")], "key long, name string")
     out = traverse(left, "link", targets, "key", "t_")
     assert sorted((r.id, r.t_key, r.t_name) for r in out.collect()) == [(1, 10, "a"), (2, None, None), (3, None, None), (4, None, None)]
+
+
+@pytest.fixture
+def many(notes):
+    """Records of one folder: an eighth has no link, an eighth a name of its own that none has, three eighths one such name, the others lead to a few records."""
+    from dataclasses import replace
+
+    n = F.col("n")
+    link = F.when(n % 8 == 0, None).when(n % 8 == 1, F.concat(F.lit("no "), n)).when(n % 2 == 1, "[[nobody]]").when(n % 4 == 2, "/sources/a.md").otherwise("[[twice]]")
+    df = notes.df.sparkSession.range(8000).withColumnRenamed("id", "n").select(F.concat(F.lit("many/"), n).alias("path"), link.alias("link"), F.array(F.lit("note")).alias("types"))
+    fields = {"link": Val(F.col("link"), kind_of(df.schema["link"].dataType))}
+    return replace(notes, df=df, fields=fields, raw=fields)
+
+
+def test_links_of_a_folder_are_resolved_once(many, notes, monkeypatch):
+    asked = []
+    for name in ("pick", "resolve"):
+        if hasattr(hops, name):
+            monkeypatch.setattr(hops, name, lambda df, *a, f=getattr(hops, name), **k: (asked.append(df), f(df, *a, **k))[1])
+    out = run_query(many, {"select": [{"name": "to", "expr": "link.asFile().title"}]}, targets=notes)
+    assert {(r.to, r["count"]) for r in out.results.groupBy("to").count().collect()} == {("Alpha", 2000), (None, 6000)}
+    assert asked[0].count() == 1000 + 3
+
+
+def test_names_join_no_table_on_a_null(spark):
+    """Links by path have no name; a join by it would deal all of them to one task."""
+    asked = spark.createDataFrame([("a/x.md", "/b/y.md")], "source_path string, raw_target string")
+    records = spark.createDataFrame([("b/y.md", None, None)], "path string, id string, title string")
+    found = links.resolve(asked, records)
+    assert [r.target_path for r in found.collect()] == ["b/y.md"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
