@@ -98,3 +98,23 @@ def test_names_join_no_table_on_a_null(spark):
     found = links.resolve(asked, records)
     assert [r.target_path for r in found.collect()] == ["b/y.md"]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
+@pytest.mark.parametrize("ambiguity", ["native", "unique"])
+def test_popular_and_missing_links_are_dealt_in_parts(spark, many, notes, monkeypatch, ambiguity):
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    monkeypatch.setattr(hops, "PART_ROWS", 100, raising=False)
+    try:
+        for k, v in zip(before, ("false", "16", "-1"), strict=True):
+            spark.conf.set(k, v)
+        out = run_query(many, {"select": [{"name": "to", "expr": f"link.asFile({{'ambiguity': '{ambiguity}'}}).title"}]}, targets=notes)
+        assert {(r.to, r["count"]) for r in out.results.groupBy("to").count().collect()} == {("Alpha", 2000), (None, 6000)}
+        assert out.results.select("path").distinct().count() == 8000
+        # counting the records found keeps the join
+        sizes = [r.n for r in out.matches.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.count("__hop0")).collect()]
+        assert sum(sizes) == 8000 and max(sizes) < 1500
+        if ambiguity == "unique":
+            assert out.diagnostics.count() == 1000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
