@@ -111,6 +111,11 @@ def resolution_keys(records: DataFrame) -> DataFrame:
     return records.select("path", F.explode(keys).alias("k")).where("k.key is not null").select("k.class", "k.key", "path")
 
 
+def dealt(records: DataFrame) -> DataFrame:
+    """The records in even parts, whatever the splits of their files: a task that groups texts sorts all rows that it reads."""
+    return records.repartition(F.monotonically_increasing_id())
+
+
 def resolve(links: DataFrame, records: DataFrame, *, unique: bool = False) -> DataFrame:
     """Resolve links to records with equi-joins and one ranked pick.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioquery.operators.frame import Records
-from folioquery.operators.links import pick, seat
+from folioquery.operators.links import dealt, pick, seat
 from folioquery.plans.compiler import Scope, Val, compiler, literal
 from folioquery.plans.syntax import Call, ExpressionError, Lit, MapLit, Member, Name, children, rewritten
 from folioquery.values import STRING, Kind
@@ -96,13 +96,15 @@ class Hops:
         if types:
             asked = asked.withColumn("target_types", F.array(*[F.lit(x) for x in types]))
         named = [t.fields[c].col.cast("string").alias(c) if c in t.fields else F.lit(None).cast("string").alias(c) for c in ("id", "title")]
-        found = pick(asked, t.df.select(t.path.alias("path"), *named, F.transform(t.types, F.lower).alias("types")), unique=unique)
+        # packed files say little of a table's size in memory, so no table of targets or links is broadcast by it
+        named = dealt(t.df.select(t.path.alias("path"), *named, F.transform(t.types, F.lower).alias("types")))
+        found = pick(asked.hint("merge"), named.hint("merge"), unique=unique)
 
         facts = {"path": Val(t.path, STRING), **{k: v for k, v in t.file.items() if k in self._names}}
         shown = {k: v for k, v in t.fields.items() if k in self._names and k != "file"}
         record = F.struct(*[v.col.alias(k) for k, v in shown.items()], F.struct(*[v.col.alias(k) for k, v in facts.items()]).alias("file"))
         # a path that several records have leads to none of them
-        once = t.df.select(t.path.alias("__path"), record.alias(name)).groupBy("__path").agg(F.count(F.lit(1)).alias("__n"), F.any_value(name).alias(name)).where("__n = 1")
+        once = dealt(t.df.select(t.path.alias("__path"), record.alias(name))).groupBy("__path").agg(F.count(F.lit(1)).alias("__n"), F.any_value(name).alias(name)).where("__n = 1").hint("merge")
         # links without a target, which only their ambiguity keeps here, are dealt by their own text
         found = found.where("target_path is not null or why = 'ambiguous'" if unique else "target_path is not null")
         led = found.join(once, (F.coalesce("target_path", "raw_target") == F.col("__path")) & F.col("target_path").isNotNull(), "left" if unique else "inner")
@@ -118,7 +120,7 @@ class Hops:
         own = F.xxhash64(self.records.path)
         df = df.withColumn(part, F.when(F.col(at).isNull() | F.col(raw).isNull(), own).otherwise(F.coalesce(F.pmod(own, F.col("__parts")), F.lit(0).cast("long")))).drop("__at", "__raw", "__parts")
         same = (F.col(at) == F.col(f"{at}_")) & (F.col(raw) == F.col(f"{raw}_")) & (F.col(part) == F.col(f"{part}_"))
-        self.df = df.join(led, same, "left").drop(f"{at}_", f"{raw}_", f"{part}_")
+        self.df = df.join(led.hint("merge"), same, "left").drop(f"{at}_", f"{raw}_", f"{part}_")
 
         file_kind = Kind("map", fields=tuple((k, v.kind) for k, v in facts.items()))
         kind = Kind("map", fields=(*((k, v.kind) for k, v in shown.items()), ("file", file_kind)))

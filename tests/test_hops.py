@@ -118,3 +118,40 @@ def test_popular_and_missing_links_are_dealt_in_parts(spark, many, notes, monkey
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("options", ["", "{'types': ['source']}"])
+def test_targets_of_packed_files_are_dealt_and_not_broadcast(spark, many, notes, tmp_path, options):
+    """A small file may hold many targets: none is broadcast for its file's size, and no task sorts all that it reads of one."""
+    from dataclasses import replace
+
+    notes.df.coalesce(1).write.parquet(f"{tmp_path}/notes")
+    many.df.coalesce(1).write.parquet(f"{tmp_path}/many")
+    packed = replace(notes, df=spark.read.parquet(f"{tmp_path}/notes"))
+    linking = replace(many, df=spark.read.parquet(f"{tmp_path}/many"))
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("false", "256k"), strict=True):
+            spark.conf.set(k, v)
+        out = run_query(linking, {"select": [{"name": "to", "expr": f"link.asFile({options}).title"}]}, targets=packed)
+        assert {(r.to, r["count"]) for r in out.results.groupBy("to").count().collect()} == {("Alpha", 2000), (None, 6000)}
+        plan = out.results._jdf.queryExecution().executedPlan()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+    def walk(node):
+        yield node
+        for i in range(node.children().size()):
+            yield from walk(node.children().apply(i))
+
+    def met(node):
+        while node.children().size() == 1 and "Exchange" not in node.nodeName():
+            node = node.children().apply(0)
+        return node.nodeName()
+
+    nodes = list(walk(plan))
+    # popular links alone, once for the rows and once for the links
+    assert sum(n.nodeName() == "BroadcastHashJoin" for n in nodes) == 2
+    groups = [met(n) for n in nodes if n.nodeName() == "SortAggregate"]
+    assert groups and not [g for g in groups if g.startswith("Scan")]
